@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, pii, quality, secrets, topk, warc
+from . import ann, bpe, jaccard, packing, pii, quality, secrets, topk, warc
 from .shared import fresh_path
 
 
@@ -45,6 +45,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann": op4_ann,
     "op6_warc": op6_warc,
     "op7_topk": op7_topk,
+    "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
