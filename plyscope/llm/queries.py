@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, packing, pii, quality, secrets, topk, warc
+from . import ann, bpe, jaccard, packing, pii, quality, secrets, suffixes, topk, warc
 from .shared import fresh_path
 
 
@@ -34,6 +34,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedupe_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_jaccard": op3_jaccard,
     "op4_ann": op4_ann,
+    "op5_suffixes": op5_suffixes,
     "op6_warc": op6_warc,
     "op7_topk": op7_topk,
     "op8_packing": op8_packing,
