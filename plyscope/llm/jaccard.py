@@ -261,7 +261,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, sketch) -> DataFrame:
     return texts.mapInArrow(rows, "wanted long, cls long, size int, path binary").where("cls = wanted").select("cls", "size", "path")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, share: int = 85) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80) -> DataFrame:
     """Link texts whose sets of n-word shingles have ``100 * intersection >= share * union``.
 
     Returns for every row of ``docs``: key, n_shingles, class_id (the
