@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import counting, exploring
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **exploring.QUERIES}
+SQL: dict[str, str] = {**counting.SQL, **exploring.SQL}
