@@ -236,6 +236,20 @@ def fits(n: Column, m: Column, share: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * share
 
 
+def _needed(n: Column, m: Column, share: int) -> Column:
+    return F.ceil(F.lit(share) * (n + m) / (100 + share))
+
+
+def meet(at: Column, n: Column, at2: Column, m: Column, share: int) -> Column:
+    """Whether an n-gram's places in the order of two sets let them be similar through it.
+
+    Sets that share as many n-grams as they need share one among the first
+    ``size - needed + 1`` of each.
+    """
+    need = _needed(n, m, share)
+    return fits(n, m, share) & (at <= n - need) & (at2 <= m - need)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Of pairs (a, b) of classes those that are similar."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("trees"))
@@ -280,26 +294,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
     classes = written(rows.where("cls is not null and key is not null").groupBy("cls").agg(F.min("key").alias("rep")), "gram-classes")
     posted = _postings(docs.where("key is not null"), n, share, sketch)
     posted = written(posted.repartition("gram").sortWithinPartitions("gram", "cls").mapInArrow(_shared, posted.schema), "gram-postings")
-    wanted = posted.select("cls").distinct().join(classes, "cls")
-    sets = written(_sets(docs, wanted, n, sketch), "gram-paths")
     edges, labels, open_ = None, None, posted
     for turn in range(ROUNDS + 1):
         if labels is not None:
             open_ = open_.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         else:
             open_ = open_.withColumn("label", F.col("cls"))
-        stats = open_.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("weight", "cls", "size", "label", "at")).alias("hub")).where("low < high")
+        stats = open_.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max(F.struct("weight", "cls", "size", "label", "at")).alias("hub")).where("low < high")
+        # a posting past where even the smallest possible partner needs it serves no pair
+        smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * share / 100))
+        met = open_.join(stats.select("gram", "least", "hub"), "gram").where(F.col("at") <= F.col("size") - _needed(F.col("size"), smallest, share)).drop("least")
+        if turn == 0:
+            met = written(met, "gram-met")
+            sets = written(_sets(docs, met.select("cls").distinct().join(classes, "cls"), n, sketch), "gram-paths")
         if turn < ROUNDS:
-            met = open_.join(stats.select("gram", "hub"), "gram")
             open_ = written(met.where("cls <> hub.cls"), "gram-open")
-            pairs = open_.where((F.col("label") != F.col("hub.label")) & fits(F.col("size"), F.col("hub.size"), share)).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
+            near = meet(F.col("at"), F.col("size"), F.col("hub.at"), F.col("hub.size"), share)
+            pairs = open_.where((F.col("label") != F.col("hub.label")) & near).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
             open_ = open_.drop("hub")
         else:
-            left = open_.join(stats.select("gram"), "gram")
+            left = met.drop("hub")
             right = left.select("gram", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "label", "at")))
-            ahead = 1 + F.least(F.col("at"), F.col("at2")) + F.least(F.col("size") - F.col("at") - 1, F.col("size2") - F.col("at2") - 1)
-            far = ahead * (100 + share) >= share * (F.col("size") + F.col("size2"))
-            pairs = left.join(right, "gram").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & fits(F.col("size"), F.col("size2"), share) & far).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+            near = meet(F.col("at"), F.col("size"), F.col("at2"), F.col("size2"), share)
+            pairs = left.join(right, "gram").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & near).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
         pairs = written(pairs.distinct(), "gram-pairs")
         if not pairs.limit(1).count():
             if turn == ROUNDS or not open_.limit(1).count():
