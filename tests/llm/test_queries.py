@@ -1,0 +1,83 @@
+"""Registered queries and the pipeline over small tables, against brute force."""
+
+import hashlib
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+from plyscope.llm import queries
+from pyspark.sql import functions as F
+from test_corpus import brute_components, brute_removed, near_copies, passages
+
+sys.path.insert(0, str(Path(__file__).parents[2]))
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Small tables in the driver's layout."""
+    d = tmp_path_factory.mktemp("sf")
+    rows = near_copies(5, 8, 10) + [(i + 500, t) for i, t in passages(1)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").dropDuplicates(["doc_id"])
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 3 % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, f"http://e/{i}", "p" * (i % 7)) for i in range(40)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.range(300).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(F.col("id") * k).cast("float")).alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{d}/embeddings.parquet")
+    return str(d)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tables):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_gives_the_same_rows(spark, tables, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet/*.parquet')")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, tables)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(repr, want.select(", ".join(sorted(want.columns))).fetchall())) == sorted(repr(tuple(r)) for r in got.select(*sorted(want.columns)).collect())
+
+
+def test_similarity_and_passages(spark, tables, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_jaccard(spark, tables).collect()}
+    assert got == brute_components(texts, 4, 85)
+    rows = {r["doc_id"]: [tuple(r)[1:]] for r in queries.op5_suffixes(spark, tables).collect()}
+    assert rows == brute_removed(texts)
+
+
+def test_every_query_returns_its_whole_table(spark, tables, texts):
+    for name in ("op1_bpe", "op2_secrets", "op9_quality", "op10_pii"):
+        rows = queries.QUERIES[name](spark, tables)
+        assert sorted(r["doc_id"] for r in rows.select("doc_id").collect()) == sorted(i for i, _ in texts)
+    pieces = queries.op8_packing(spark, tables).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
+    assert len(pieces) == len(texts) and all(p["n"] == p["t"] for p in pieces)
+    assert queries.op4_ann(spark, tables).groupBy("query_id").count().where("count = 10").count() == 3
+
+
+def test_pipeline_stages(spark, tables):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in P.STAGES[1:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == columns, name
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        if name == "near_duplicates":
+            lowest = brute_components(rows, 5, 80)
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, _ in rows if lowest[i][1] == i)
+        else:
+            assert out.count() == len(rows) and out.where(F.length("text") != F.col("n_chars")).count() == 0
+        if name == "passages":
+            want = brute_removed(rows)
+            for r in out.collect():
+                raw = (r["text"] or "").encode()
+                assert want[r["doc_id"]][0][1] or want[r["doc_id"]][0][3] == hashlib.sha256(raw).hexdigest()
+        docs = out
+    kept = P.STAGES[0][1](spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+    assert kept.columns == columns and kept.count() <= before
+    assert {"doc_id", "sequence_id", "ids"} <= set(P.run(spark, tables).columns)

@@ -1,0 +1,226 @@
+"""Operators on texts one by one: encoding, secrets, quality, pseudonyms, packing."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from plyscope.llm import bpe, packing, pii, quality, secrets
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "  a  b ", "plain words here", "naïve café über\n\n\nstraße", "a" * 3000, "日本語 text 😀 ​x", "x<|endoftext|>y", "tab\t\tsep \r\n end", "1234567 12,345.67", "it's we'll they're", " \n \n  lead"]
+
+
+def docs(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+def test_codec_agrees_with_the_library_on_random_text(library):
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "the", "Ab", "é", "ß", "1", "23", ".", "!!", "'s", "日本", "😀", "\x85", "İ", "<|endoftext|>", "<|end", "aaaa", "zzzq", "ing"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ODD
+    codec = bpe.Codec(bpe.default_vocabulary())
+    for t, raw, e in zip(texts, codec.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == e.ids
+        assert codec.decode(raw) == library.decode(e.ids, skip_special_tokens=False)
+
+
+def test_every_token_is_proposed_only_if_merging_makes_it():
+    codec = bpe.Codec(bpe.default_vocabulary())
+    for raw, i in list(codec.greedy.items())[::97]:
+        assert codec.merge(raw) == [i]
+
+
+def test_round_trip_and_columns(spark, library):
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs(spark, [*ODD, None, ODD[3]])).collect()}
+    for i, t in enumerate([*ODD, None, ODD[3]]):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert rows[i]["n_tokens"] == len(ids)
+        assert rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    clash = docs(spark, ["one two", None]).withColumn("ids", F.lit("old")).withColumn("n_tokens", F.lit(1))
+    back = bpe.decode(bpe.encode(clash), out="again").orderBy("doc_id").collect()
+    assert [r["again"] for r in back] == ["one two", ""] and back[0]["n_tokens"] == 1
+    assert bpe.round_trip(docs(spark, [])).count() == 0
+
+
+def brute_secrets(text):
+    out = []
+    for kind, p, g, least in (
+        ("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 1, 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
+        ("hex", re.compile("[0-9a-f]+"), 0, 24),
+    ):
+        out += [(m.start(), kind, m.end()) for m in p.finditer(text) if len(m.group(g)) >= least]
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[1])))
+
+
+def test_secrets_base_spans(spark):
+    rng = random.Random(2)
+    parts = ["password", "Token", "API_KEY", "apikey", " = ", ":", '"', "'", " ", "é", "AKIA", "ABCDEF123456", "0123456789abcdef", "deadbeef", "\n", "x.y-z", "secret"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(500)] + ["", None, "secreT=abc secret=abcdef"]
+    rows = {r["doc_id"]: r for r in secrets.find(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_secrets(t or "")
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in want).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(w[1] == k for w in want) for k in ("assign", "access", "hex")]
+        spans = rows[i]["spans"].split(",") if rows[i]["spans"] else []
+        assert set(f"{k}:{s}:{e}" for s, k, e in want) <= set(spans)
+
+
+def test_entropy_windows_match_a_direct_count():
+    rng = random.Random(3)
+    for _ in range(200):
+        run = "".join(rng.choice("ab12cdefXYZ") for _ in range(rng.randint(1, 60)))
+        marked = [False] * len(run)
+        for i in range(len(run) - 11):
+            w = run[i : i + 12]
+            h = -sum(w.count(c) / 12 * np.log2(w.count(c) / 12) for c in set(w))
+            if h >= 2.6 - 1e-9 and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+                marked[i : i + 12] = [True] * 12
+        got = [False] * len(run)
+        for s, e in secrets.suspect_windows(run, 12, 2.6):
+            got[s:e] = [True] * (e - s)
+        assert got == marked
+
+
+def test_secrets_added_and_suppressed(spark):
+    key = "q7Zk2Lx9Vb4Nw8Rt1Yc6Hd3"
+    texts = [f"use {key} now", "id 123e4567-e89b-12d3-a456-426614174000", "an ordinarylongwordwithoutdigits here", f"token={key}"]
+    rows = secrets.find(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_entropy"] for r in rows] == [1, 0, 0, 0]
+    kept = secrets.mask(docs(spark, [*texts, None, ""])).orderBy("doc_id").collect()
+    assert key not in kept[0]["text"] and kept[1]["text"] == texts[1] and kept[4]["text"] is None and kept[5]["text"] == ""
+    assert secrets.find(docs(spark, [])).count() == 0
+
+
+def test_quality_learns_and_keeps_held_out_labels_apart(spark):
+    rng = random.Random(1)
+    words = ["the", "river", "house", "under", "green", "walks", "to", "see", "nice", "day"]
+    good = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + "." for _ in range(150)]
+    bad = [" ".join([rng.choice(words) + "!!"] * 60).upper() for _ in range(150)]
+    d = docs(spark, [*good, *bad, None, ""])
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)] + [(None, 1, 0), (3, None, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    model = quality.train(d, labels)
+    rows = quality.score(d.withColumn("score", F.lit("clash")), model).collect()
+    assert rows == quality.score(d, quality.train(d, flipped)).collect()
+    assert len(rows) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    held = [r for r in rows if r["doc_id"] < 300 and r["held_out"]]
+    assert [r["held_out"] for r in rows] == [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows]
+    assert sum(r["predicted"] == int(r["doc_id"] < 150) for r in held) / len(held) > 0.95
+    kept = quality.keep_good(d, model)
+    assert kept.columns == d.columns and 140 <= kept.where("doc_id < 150").count() and kept.where("doc_id between 150 and 299").count() <= 5
+
+
+def test_quality_without_labels(spark):
+    d = docs(spark, ["a b", None])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["predicted"] for r in quality.score(d, quality.train(d, none)).collect()] == [1, 1]
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "card 4111111111111111, again 4111-1111-1111-1111 and 4111111111111111; 4111111111111112 isn't one",
+        "born 1999-02-28 not 1999-02-30, 02/28/1999 and 28.02.1999",
+        "call +1 (939) 555-8456 or 939-555-8456, ssn 123-45-6789, 000-12-3456",
+        "host 10.20.30.40 not 300.1.1.1, mail jo.Doe7@mail.example.com.",
+        "nothing to hide", "", None, "card 4111111111111111",
+    ]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts).withColumn("pii", F.lit(1))).collect()}
+    kinds = [[x["kind"] for x in rows[i]["pii"]] for i in range(8)]
+    assert kinds == [["card"] * 3, ["date"] * 3, ["phone", "phone", "ssn"], ["ip", "email"], [], [], [], ["card"]]
+    a, b, c = (x["pseudonym"] for x in rows[0]["pii"])
+    assert a == c == b.replace("-", "") == rows[7]["pii"][0]["pseudonym"] and luhn(a) and a != "4111111111111111"
+    assert "4111111111111112" in rows[0]["text"] and "4111111111111111" not in rows[0]["text"]
+    assert "1999-02-30" in rows[1]["text"] and "1999-02-28" not in rows[1]["text"]
+    iso, us, eu = (x["pseudonym"] for x in rows[1]["pii"])
+    assert iso == f"{us[6:]}-{us[:2]}-{us[3:5]}" == f"{eu[6:]}-{eu[3:5]}-{eu[:2]}"
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", rows[2]["pii"][0]["pseudonym"]) and "000-12-3456" in rows[2]["text"]
+    assert all(int(x) < 256 for x in rows[3]["pii"][0]["pseudonym"].split(".")) and "300.1.1.1" in rows[3]["text"]
+    assert re.fullmatch(r"[a-z]{2}\.[A-Z][a-z]{2}\d@mail\.example\.com", rows[3]["pii"][1]["pseudonym"])
+    assert rows[4]["text"] == texts[4] and rows[5]["text"] == "" and rows[6]["text"] is None
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    """All dates of some years and all values of a small network: no two share a pseudonym."""
+    days = spark.range(0, 73_440, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"), F.col("id").alias("doc_id"))
+    out = pii.pseudonymise(days)
+    assert out.where(F.size("pii") != 1).count() == 0 and out.select("text").distinct().count() == days.count()
+    small = spark.range(0, 12 * 11).select(F.floor(F.col("id") / 11).alias("h"), (F.col("id") % 11).alias("l"))
+    halves = pii.permuted(F.col("h"), F.col("l"), "k", "t", F.lit(12), F.lit(11))
+    got = {(r["a"], r["b"]) for r in small.select(halves[0].alias("a"), halves[1].alias("b")).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(11)}
+    cards = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("4"), F.lpad(F.col("id").cast("string"), 14, "0")).alias("p"))
+    cards = cards.select("doc_id", F.concat("p", ((10 - pii.luhn(F.concat("p", F.lit("0")))) % 10).cast("string")).alias("text"))
+    assert pii.pseudonymise(cards).select("text").distinct().count() == 500
+
+
+def packed_is_right(rows, texts, encode, window):
+    by, seqs = {}, {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+        seqs.setdefault(r["sequence_id"], []).append(r)
+    for i, t in enumerate(texts):
+        ids, at = np.array([*encode(t or ""), 0], "<u4"), 0
+        for r in sorted(by[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for s in seqs.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= window
+    assert sum(sum(r["length"] for r in s) < window for s in seqs.values()) <= 1
+
+
+def test_packing(spark, library):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "日本", "x"]) for _ in range(rng.choice([0, 1, 5, 40, 200, 2500]))) for _ in range(300)] + [None, "", *ODD]
+    rows = packing.pack(docs(spark, texts).repartition(5).withColumn("start", F.lit("clash")), with_ids=True).collect()
+    packed_is_right(rows, texts, lambda t: library.encode(t, add_special_tokens=False).ids, 1024)
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    same = ["one two three"] * 900
+    packed_is_right(packing.pack(docs(spark, same)).collect(), same, lambda t: library.encode(t, add_special_tokens=False).ids, 1024)
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_plan_places_every_rank_once():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 40, 64)
+    plan, cells = packing.Plan(counts, 64, 3), set()
+    for length in range(1, 64):
+        for rank in range(counts[length]):
+            places = plan.places(length, rank)
+            assert sum(p[2] for p in places) == length
+            for s, o, n in places:
+                new = {(s, k) for k in range(o, o + n)}
+                assert o + n <= 64 and not new & cells
+                cells |= new
+    fill = [sum(1 for s, _ in cells if s == k) for k in range(plan.sequences)]
+    assert all(f == 64 for f in fill[:-1]) and plan.planned > 0
+
+
+def test_least_squares_finds_an_exact_cover():
+    counts = np.zeros(17, np.int64)
+    counts[[10, 6]] = 25
+    x = packing.least_squares(packing.combinations(16, 3), counts)
+    assert abs(x.sum() - 25) < 1.0
