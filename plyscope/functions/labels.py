@@ -16,7 +16,7 @@ def _short(n: Column, units: tuple[tuple[int, str], ...], plain: Column) -> Colu
 
 
 def number(n: Column) -> Column:
-    """1234 as 1.2K; also M and B.  Null is 0."""
+    """1234 as 1.2K; also M and B.  Null is 0; a half rounds up."""
     n = F.coalesce(n, F.lit(0))
     return _short(n, ((10**9, "B"), (10**6, "M"), (10**3, "K")), n.cast("string"))
 
