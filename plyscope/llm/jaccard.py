@@ -35,8 +35,10 @@ from .shared import ship, written
 SKETCH, BLOCKS = 1 << 20, 64
 #: Rounds of comparing with centres, and members of one prefix tree, about.
 ROUNDS, MEMBERS = 3, 128
+#: Sets that a Python worker holds at once.
+PATHS = 64
 #: Hashes of words that a Python worker keeps.
-WORDS = 400_000
+WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,7 +210,7 @@ def _trees(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordB
     """
     centre, own, path, sums, known = None, None, None, None, 0
     a, b_ = [], []
-    for b in batches:
+    for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
         for c, member, cls, size, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
             new = np.frombuffer(raw, ">u8")
             if not member:
@@ -265,7 +267,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, sketch) -> DataFrame:
     """(cls, size, path) of the wanted classes, from the text of one document each; path: common n-grams first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
             found = [grams(t.as_py(), n) for t in b.column(1)]
             paths = [ordered(g, sketch.value)[0][::-1].astype(">u8").tobytes() for g in found]
             cls = [class_of(g) if len(g) else None for g in found]

@@ -46,11 +46,19 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a Python worker gets at once: texts are long, and Spark's 10,000 of them are too much for its memory.
+ROWS_AT_ONCE = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's checkout.
+    """Prepare Python workers: small batches, and this package from the driver's checkout.
 
-    A cluster that receives the package by ``--py-files`` doesn't need it.
+    A session that sets its own batches keeps them.  A cluster that receives
+    the package by ``--py-files`` doesn't need the latter.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, ROWS_AT_ONCE)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

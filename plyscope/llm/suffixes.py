@@ -124,15 +124,25 @@ def _cells(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _rows(table: pa.Table, key: str, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids, texts and row keys of the rows of a chunk that have an id; equal rows share a key."""
+    """Ids, texts and numbers of the rows of a chunk that have an id; equal rows share a number.
+
+    Numbers follow the order of a hash, so they don't depend on the order in
+    which a shuffle brings the rows.
+    """
     table = table.filter(pa.compute.is_valid(table.column(key)))
     ids = table.column(key).cast(pa.int64()).to_numpy()
     texts = [(x or "").encode() for x in table.column(text).to_pylist()]
-    return ids, texts, _row_keys(ids, texts)
+    keys = np.fromiter((xxhash.xxh3_64_intdigest(t, int(i) & 0xFFFFFFFF) for i, t in zip(ids, texts, strict=True)), U, len(texts))
+    return ids, texts, np.unique(keys, return_inverse=True)[1].astype("<u4")
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers as 4 bytes each, if they all fit, else as 8."""
+    return x.astype("<u4" if len(x) and x.min() >= 0 and x.max() < 1 << 32 else "<i8").tobytes()
 
 
-def _row_keys(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t, int(i) & 0xFFFFFFFF) for i, t in zip(ids, texts, strict=True)), U, len(texts)).view(np.int64)
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<i8").astype(np.int64)
 
 
 def _split(cells: np.ndarray) -> list[tuple[int, slice]]:
@@ -172,13 +182,13 @@ def mark(table: pa.Table, key: str, text: str, buckets: int) -> pa.Table:
     cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
     several = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut) if len(c) else np.zeros(0, bool)
     c = c[cut]
-    return _table([(b, chunk, c[s].astype("<u4").tobytes(), several[s].tobytes()) for b, s in _split(c)], MARKS)
+    return _table([(b, chunk, c[s].astype("<u4").tobytes(), np.packbits(several[s]).tobytes()) for b, s in _split(c)], MARKS)
 
 
 def repeated(table: pa.Table) -> pa.Table:
     """Step 1, bucket: tell each chunk which of its anchors occur in several documents."""
     cells = [np.frombuffer(x, "<u4") for x in table.column("cells").to_pylist()]
-    several = [np.frombuffer(x, bool) for x in table.column("several").to_pylist()]
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(table.column("several").to_pylist(), cells, strict=True)]
     flat = np.concatenate(cells)
     values, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     wanted = count > 1
@@ -210,6 +220,7 @@ def sort_runs(table: pa.Table, wanted: pa.Table, key: str, text: str, buckets: i
     ids, texts, keys = _rows(table, key, text)
     known = np.sort(np.concatenate([(np.frombuffer(c, "<u4").astype(U) | U(b) << U(32)) for b, c in zip(wanted.column("bucket").to_pylist(), wanted.column("cells").to_pylist(), strict=True)]))
     parts: list[tuple[np.ndarray, ...]] = []
+    ahead, back = np.arange(WINDOW), np.arange(PER - 1)
     for buf, starts, sizes, of, offset in _buffers(texts):
         p, first, last, h = anchors(buf, starts, sizes)
         c = _cells(h, buckets)
@@ -219,9 +230,7 @@ def sort_runs(table: pa.Table, wanted: pa.Table, key: str, text: str, buckets: i
         seg = np.searchsorted(starts, p, "right") - 1
         padded = np.concatenate([buf, np.zeros(WINDOW, np.uint8)])
         m = np.zeros((len(p), WINDOW + PER + 1), np.uint8)
-        ahead = np.arange(WINDOW)
         m[:, :WINDOW] = np.where(ahead < (last + WINDOW - p)[:, None], padded[p[:, None] + ahead], 0)
-        back = np.arange(PER - 1)
         m[:, WINDOW : WINDOW + PER - 1] = np.where(back < (p - first)[:, None], buf[np.maximum(p[:, None] - 1 - back, 0)], 0)
         m[:, -2], m[:, -1] = p - last, p - first
         parts.append((m, c, ids[of[seg]], keys[of[seg]], p - starts[seg] + offset[seg]))
@@ -236,7 +245,7 @@ def sort_runs(table: pa.Table, wanted: pa.Table, key: str, text: str, buckets: i
     own = doc == least[group]
     masks = np.array([[(1 << hi + 1) - (1 << lo) if lo <= hi else 0 for hi in range(PER)] for lo in range(PER)], np.int64)
     other = ~own
-    out = [(chunk % buckets, chunk, 0, b"", b"", b"", b"", b"", masks[m[other, -2], m[other, -1]].astype("<u4").tobytes(), b"", row[other].tobytes(), p[other].tobytes())] if other.any() else []
+    out = [(chunk % buckets, chunk, 0, b"", b"", b"", b"", b"", masks[m[other, -2], m[other, -1]].astype("<u4").tobytes(), b"", _narrow(row[other]), _narrow(p[other]))] if other.any() else []
     # entries by bucket, still in the order of their suffixes
     e, ec, bucket_of = m[cut], least, (c[cut] >> U(32)).astype(np.int64)
     by = np.argsort(bucket_of, kind="stable")
@@ -250,7 +259,9 @@ def sort_runs(table: pa.Table, wanted: pa.Table, key: str, text: str, buckets: i
         right = np.ascontiguousarray(x[:, :WINDOW])
         shared, size = common(right), WINDOW - x[:, -2].astype(np.int64)
         tail = right[(ahead >= shared[:, None]) & (ahead < size[:, None])]
-        out.append((b, chunk, len(x), shared.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), tail.tobytes(), x[:, WINDOW : WINDOW + PER - 1].tobytes(), ec[by[s]].tobytes(), x[:, -2:].tobytes(), (og[k] - s.start).astype("<u4").tobytes(), orow[k].tobytes(), op[k].tobytes()))
+        before = x[:, WINDOW : WINDOW + PER - 1][back < x[:, -1:]]
+        of = og[k] - s.start
+        out.append((b, chunk, len(x), shared.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), tail.tobytes(), before.tobytes(), _narrow(ec[by[s]]), x[:, -2:].tobytes(), b"" if np.array_equal(of, np.arange(len(x))) else _narrow(of), _narrow(orow[k]), _narrow(op[k])))
     return _table(out, RUNS)
 
 
@@ -332,9 +343,11 @@ def merge_bucket(table: pa.Table) -> pa.Table:
     n = [r["n"] for r in runs]
     source = np.argsort(np.argsort(np.array(order), kind="stable"), kind="stable")  # entry of the concatenated runs, per output
     lcp_ = np.array(lcp)
-    before = np.concatenate([x.reshape(-1, PER - 1) for x in get("before", np.uint8)])[source]
-    doc = np.concatenate(get("doc", np.int64))[source]
-    span = np.concatenate([x.reshape(-1, 2) for x in get("span", np.uint8)])[source]
+    span = np.concatenate([x.reshape(-1, 2) for x in get("span", np.uint8)])
+    before = np.zeros((len(span), PER - 1), np.uint8)
+    before[np.arange(PER - 1) < span[:, 1:]] = np.concatenate(get("before", np.uint8))
+    before, span = before[source], span[source]
+    doc = np.concatenate([_wide(r["doc"], r["n"]) for r in runs])[source]
     left_order = np.argsort(np.ascontiguousarray(before).view(f"S{PER - 1}").ravel(), kind="stable")
     left_lcp = common(before[left_order])
     left = np.empty(len(before), np.int64)
@@ -354,9 +367,9 @@ def merge_bucket(table: pa.Table) -> pa.Table:
     back[source] = mask
     for r, m in zip(runs, np.split(back, np.cumsum(n)[:-1]), strict=True):
         if m.any():
-            of = m[np.frombuffer(r["of"], "<u4")]
+            of = m[_wide(r["of"], len(r["of"]) // 4)] if r["of"] else m
             k = of != 0
-            out.append((r["chunk"], np.frombuffer(r["row"], np.int64)[k].tobytes(), np.frombuffer(r["at"], np.int64)[k].tobytes(), of[k].astype("<u4").tobytes()))
+            out.append((r["chunk"], _narrow(_wide(r["row"], len(of))[k]), _narrow(_wide(r["at"], len(of))[k]), of[k].astype("<u4").tobytes()))
     return _table(out, HITS)
 
 
@@ -370,17 +383,19 @@ def covered(size: int, starts: np.ndarray) -> np.ndarray:
 
 def removals(table: pa.Table, hits: pa.Table, key: str, text: str) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Step 4: index, bytes and removed bytes of every row of a chunk."""
-    ids = table.column(key).to_pylist()
     texts = [(x or "").encode() for x in table.column(text).to_pylist()]
-    join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in hits.column(c).to_pylist())])
-    row, at, mask = join("row", np.int64), join("at", np.int64), join("mask", "<u4").astype(np.int64)
+    numbers = iter(_rows(table, key, text)[2].tolist())
+    masks = [np.frombuffer(x, "<u4").astype(np.int64) for x in hits.column("mask").to_pylist()]
+    join = lambda c: np.concatenate([np.zeros(0, np.int64), *(_wide(x, len(m)) for x, m in zip(hits.column(c).to_pylist(), masks, strict=True))])
+    row, at, mask = join("row"), join("at"), np.concatenate([np.zeros(0, np.int64), *masks])
     order = np.argsort(row, kind="stable")
     row, at, mask = row[order], at[order], mask[order]
     bits = np.arange(PER)
-    for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
+    for i, (known, t) in enumerate(zip(table.column(key).is_valid().to_pylist(), texts, strict=True)):
         s = e = 0
-        if d is not None:
-            s, e = np.searchsorted(row, _row_keys(np.array([d]), [t])[0] + np.array([0, 1]), "left")
+        if known:
+            n = next(numbers)
+            s, e = np.searchsorted(row, [n, n + 1])
         k, o = np.nonzero(mask[s:e, None] >> bits & 1)
         yield i, t, covered(len(t), at[s:e][k] - o)
 
