@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SKETCH, BLOCKS = 1 << 20, 64
 ROUNDS, MEMBERS = 3, 128
 #: Sets that a Python worker holds at once.
 PATHS = 64
+#: Bits of the filter for texts that pairs need: 4 MB.
+BITS = 1 << 25
 #: Hashes of words that a Python worker keeps.
 WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -252,29 +255,52 @@ def meet(at: Column, n: Column, at2: Column, m: Column, share: int) -> Column:
     return fits(n, m, share) & (at <= n - need) & (at2 <= m - need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that are similar."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("trees"))
-    pairs = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int"))
-    cols = ["a", "salt", "member", "cls", "size", "path"]
-    members = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", F.lit(1).alias("member"), F.col("b").alias("cls"), "size", "path")
-    centres = many.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("cls"), "size", "path")
-    trees = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "path").select(*cols)
-    return trees.mapInArrow(lambda b: _trees(b, share), "a long, b long")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
+    """Of pairs (a, b) of classes those that are similar.
 
+    A tree is a centre and about MEMBERS classes that face it.  Texts travel
+    compressed, as they are smaller than their sets, and only those that the
+    pairs need, but for the few that share a bit with one of these.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("trees"))
+    members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("cls"))
+    centres = many.select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("cls"))
+    placed = written(members.unionByName(centres).join(classes.withColumnRenamed("rep", "key"), "cls"), "gram-trees")
+    bits = _bits(placed)
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, sketch) -> DataFrame:
-    """(cls, size, path) of the wanted classes, from the text of one document each; path: common n-grams first."""
+    def needed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["key", "text"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
-            found = [grams(t.as_py(), n) for t in b.column(1)]
-            paths = [ordered(g, sketch.value)[0][::-1].astype(">u8").tobytes() for g in found]
-            cls = [class_of(g) if len(g) else None for g in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array([len(g) for g in found], pa.int32()), pa.array(paths, pa.binary())], ["wanted", "cls", "size", "path"])
+            found = [grams(zstandard.decompress(t.as_py()).decode(), n) for t in b.column("text")]
+            mine = [len(g) > 0 and class_of(g) == c for g, c in zip(found, b.column("cls").to_pylist(), strict=True)]  # rows that share the key have other texts
+            sets = [ordered(g, sketch.value)[0][::-1].astype(">u8").tobytes() for g in found]
+            b = b.drop_columns(["text"]).append_column("size", pa.array([len(g) for g in found], pa.int32())).append_column("path", pa.array(sets, pa.binary()))
+            yield b.filter(pa.array(mine, pa.bool_()))
+
+    kind = docs.schema[0].dataType.simpleString()
+    texts = docs.where("key is not null").withColumn("bit", _bit()).mapInArrow(needed_texts, f"key {kind}, text binary")
+    trees = placed.join(texts, "key").select("a", "salt", "member", "cls", "text").repartition("a", "salt")
+    sets = trees.mapInArrow(paths, "a long, salt int, member int, cls long, size int, path binary")
+    return sets.sortWithinPartitions("a", "salt", "member", "path").mapInArrow(lambda b: _trees(b, share), "a long, b long").distinct()
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(BITS))
+
 
-    texts = docs.join(wanted.select(F.col("rep").alias("key"), F.col("cls").alias("wanted")), "key").select("wanted", "text")
-    return texts.mapInArrow(rows, "wanted long, cls long, size int, path binary").where("cls = wanted").select("cls", "size", "path")
+def _bits(rows: DataFrame):
+    """A bit for the hash of each key: BITS in all, however many rows; broadcast."""
+    at = _bit() + 1  # buckets of 32,768 bits count from 1
+    found = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((BITS >> 15, 1 << 12), np.uint8)
+    for r in found:
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(out.ravel())
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: int = 80) -> DataFrame:
@@ -308,7 +334,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
         met = open_.join(stats.select("gram", "least", "hub"), "gram").where(F.col("at") <= F.col("size") - _needed(F.col("size"), smallest, share)).drop("least")
         if turn == 0:
             met = written(met, "gram-met")
-            sets = written(_sets(docs, met.select("cls").distinct().join(classes, "cls"), n, sketch), "gram-paths")
         if turn < ROUNDS:
             open_ = written(met.where("cls <> hub.cls"), "gram-open")
             near = meet(F.col("at"), F.col("size"), F.col("hub.at"), F.col("hub.size"), share)
@@ -324,7 +349,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
             if turn == ROUNDS or not open_.limit(1).count():
                 break
             continue
-        found = written(_verified(pairs, sets, share), "gram-links")
+        found = written(_verified(pairs, classes, docs, n, share, sketch), "gram-links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     known = classes.withColumn("lowest", F.col("rep"))
