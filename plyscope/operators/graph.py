@@ -6,31 +6,40 @@ so cycles end, and is written, so that lineage doesn't grow.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
 
 MOST_DEPTH, MOST_PLIES = 20, 50
+#: Levels that are read one by one before they are written as one.
+LEVELS = 8
 
 
-def reachable(edges: DataFrame, roots: DataFrame, stored: DataFrame | None = None, depth: int = MOST_DEPTH) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, stored: DataFrame | None = None, depth: int | None = MOST_DEPTH) -> DataFrame:
     """(pos_key, depth): positions that moves reach from ``roots``, with the fewest moves.
 
-    With ``stored`` only positions found there count and are expanded.
+    With ``stored`` only positions found there count and are expanded.  With
+    None for ``depth`` the search goes on until nothing is new.
     """
+    edges = written(edges.select(F.col("parent_key").alias("pos_key"), "child_key"), "edges")
     rows = roots.select("pos_key").distinct()
     if stored is not None:
+        stored = written(stored.select("pos_key"), "stored")
         rows = rows.join(stored.select("pos_key"), "pos_key", "left_semi")
     seen = front = written(rows.withColumn("depth", F.lit(0)), "level")
-    for d in range(1, depth + 1):
-        new = front.join(edges.select(F.col("parent_key").alias("pos_key"), "child_key"), "pos_key").select(F.col("child_key").alias("pos_key")).distinct()
+    for d in count(1) if depth is None else range(1, depth + 1):
+        new = front.join(edges, "pos_key").select(F.col("child_key").alias("pos_key")).distinct()
         if stored is not None:
             new = new.join(stored.select("pos_key"), "pos_key", "left_semi")
         front = written(new.join(seen, "pos_key", "left_anti").withColumn("depth", F.lit(d)), "level")
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
+        if d % LEVELS == 0:
+            seen = written(seen, "level")
     return seen
 
 
@@ -41,19 +50,21 @@ def beam(edges: DataFrame, roots: DataFrame, scores: DataFrame, depth: int = 6,
     return reachable(written(kept.select("parent_key", "token", "child_key"), "beam"), roots, depth=depth)
 
 
-def prove(edges: DataFrame, terminals: DataFrame, most: int = MOST_PLIES) -> DataFrame:
+def prove(edges: DataFrame, terminals: DataFrame, most: int | None = MOST_PLIES) -> DataFrame:
     """(pos_key, kind, distance) of all positions whose outcome moves alone decide.
 
     ``terminals`` (pos_key, kind, distance) are known; kinds are for the side
     to move.  A move to a lost position wins, one ply later than the quickest
     of them; with all moves proven and none winning, a draw if one draws
     (distance 0), else a loss, one ply later than the slowest.  Round n fixes
-    outcomes up to distance n, so wins are minimal; cycles stay unproven.
+    outcomes up to distance n, so wins are minimal; cycles stay unproven.  With
+    None for ``most`` rounds go on until nothing is new.
     """
+    edges = written(edges.select("parent_key", "child_key"), "edges")
     known = written(terminals.select("pos_key", "kind", F.col("distance").cast("int").alias("distance")), "proof")
     lost = F.col("kind") == "loss"
-    for n in range(1, most + 1):
-        by = edges.select("parent_key", "child_key").join(known.withColumnRenamed("pos_key", "child_key"), "child_key", "left").groupBy("parent_key")
+    for n in count(1) if most is None else range(1, most + 1):
+        by = edges.join(known.withColumnRenamed("pos_key", "child_key"), "child_key", "left").groupBy("parent_key")
         state = by.agg(F.min(F.when(lost, F.col("distance"))).alias("quick"), F.every(F.col("kind").isNotNull()).alias("all"), F.coalesce(F.max(F.col("kind") == "draw"), F.lit(False)).alias("draw"), F.max("distance").alias("slow"))
         kind = F.when(F.col("quick").isNotNull(), F.lit("win")).when(F.col("all") & F.col("draw"), F.lit("draw")).when(F.col("all"), F.lit("loss"))
         distance = F.when(kind == "win", F.col("quick") + 1).when(kind == "draw", F.lit(0)).otherwise(F.col("slow") + 1)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.counts import count_positions, latest_evaluations, overlay
 from ..operators.explore import edges
 from ..sources.tables import TOKENS, evaluations, plies
 
-#: Plies of a game that the graph queries look at; deeper positions hardly recur.
+#: Plies of a game that the SQL looks at where it names this; the DataFrames take all plies, so there the SQL's rows are fewer.
 MOST_PLY = 6
 
 
@@ -35,7 +34,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(event_plies(spark, sf_dir).where(F.col("ply") < MOST_PLY))
+    return edges(event_plies(spark, sf_dir))
 
 
 ROOT = ".".join("0" for _ in TOKENS)

@@ -38,8 +38,8 @@ def srt_04_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def srt_08_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The first 50 extreme positions within six plies, by depth and key: a batch is the feature."""
-    depths = G.reachable(graph(spark, d), roots(spark))
+    """The first 50 extreme positions, by depth and key: a batch is the feature."""
+    depths = G.reachable(graph(spark, d), roots(spark), depth=None)
     return X.extreme(positions(spark, d), -30, 30).join(depths, "pos_key").select("pos_key", "depth", "cp", "winning").orderBy("depth", "pos_key").limit(50)
 
 
@@ -59,7 +59,7 @@ def jon_06_openings(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.openings import named
 
     known = position_names(spark, d)
-    return named(event_plies(spark, d).where(F.col("ply") < MOST_PLY).select("pos_key").distinct(), known)
+    return named(event_plies(spark, d).select("pos_key").distinct(), known)
 
 
 def position_names(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def jon_08_missing_children(spark: SparkSession, d: str) -> DataFrame:
 
 def _files(spark: SparkSession, d: str, part: int) -> DataFrame:
     """Key ranges of the games of one part, as files have them."""
-    p = event_plies(spark, d).where((F.col("game_id") % 2 == part) & (F.col("ply") < MOST_PLY))
+    p = event_plies(spark, d).where(F.col("game_id") % 2 == part)
     return p.groupBy(F.col("game_id").alias("id")).agg(F.min("pos_key").alias("low"), F.max("pos_key").alias("high"))
 
 
@@ -114,7 +114,7 @@ def prj_09_last_opening(spark: SparkSession, d: str) -> DataFrame:
     """The opening that each ply of a game is in: the last named position on its path."""
     from ..sources.openings import carried
 
-    return carried(event_plies(spark, d).where(F.col("ply") < MOST_PLY), position_names(spark, d))
+    return carried(event_plies(spark, d), position_names(spark, d))
 
 
 def prj_12_move_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -133,11 +133,11 @@ def roots(spark: SparkSession) -> DataFrame:
 
 def grf_04_reachable(spark: SparkSession, d: str) -> DataFrame:
     """Positions that moves between stored positions reach from the first."""
-    return G.reachable(graph(spark, d), roots(spark), positions(spark, d).where("has_eval"))
+    return G.reachable(graph(spark, d), roots(spark), positions(spark, d).where("has_eval"), depth=None)
 
 
 def grf_05_extreme_by_depth(spark: SparkSession, d: str) -> DataFrame:
-    depths = G.reachable(graph(spark, d), roots(spark))
+    depths = G.reachable(graph(spark, d), roots(spark), depth=None)
     return X.extreme(positions(spark, d), -30, 30).join(depths, "pos_key").groupBy("depth", "winning").agg(F.count(F.lit(1)).alias("n"), F.min("cp").alias("low"), F.max("cp").alias("high"))
 
 
@@ -158,7 +158,7 @@ def _terminals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grf_07_proof(spark: SparkSession, d: str) -> DataFrame:
-    return G.prove(graph(spark, d), _terminals(spark, d))
+    return G.prove(graph(spark, d), _terminals(spark, d), None)
 
 
 def agg_15_minimax_round(spark: SparkSession, d: str) -> DataFrame:
