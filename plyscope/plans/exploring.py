@@ -44,8 +44,8 @@ def srt_08_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jon_01_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """A batch of keys: positions of one part of the games, and as many that nobody has."""
-    p = event_plies(spark, d).where(F.col("game_id") % 10 == 0)
+    """A batch of keys: positions of all games, and as many that nobody has."""
+    p = event_plies(spark, d)
     keys = p.select("pos_key").unionByName(p.select(F.concat(F.lit("x"), "pos_key").alias("pos_key")))
     return K.lookup(keys, positions(spark, d))
 
@@ -87,8 +87,7 @@ def _files(spark: SparkSession, d: str, part: int) -> DataFrame:
 
 
 def jon_09_overlapping_files(spark: SparkSession, d: str) -> DataFrame:
-    a = _files(spark, d, 0).where(F.col("id") % 10 == 0)
-    return K.overlapping(a, _files(spark, d, 1)).groupBy("a_id").agg(F.count(F.lit(1)).alias("files"), F.min("b_id").alias("first"))
+    return K.overlaps(_files(spark, d, 0), _files(spark, d, 1))
 
 
 def jon_10_rightmost_file(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +141,9 @@ def grf_05_extreme_by_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grf_06_beam(spark: SparkSession, d: str) -> DataFrame:
-    """From the first position the two best moves of each, four deep."""
+    """From the first position the five best moves of each, six deep."""
     scores = positions(spark, d).select("pos_key", F.when(F.col("has_cp"), F.col("cp")).alias("score"))
-    return G.beam(graph(spark, d), roots(spark), scores, 4, 2)
+    return G.beam(graph(spark, d), roots(spark), scores)
 
 
 def _terminals(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from plyscope import catalog
-from plyscope.operators import graph
+from plyscope.operators import graph, lookup
 from plyscope.plans import base
 from plyscope.sources.tables import TOKENS
 
@@ -76,3 +76,39 @@ def brute_proof(edges):
 def test_proof_of_all_plies(spark, games):
     want = brute_proof(games[1])
     assert {r[0]: r[1:] for r in rows(spark, games, "grf_07_proof")} == want
+
+
+def test_small_jobs_take_all_games_and_plies(spark, games):
+    want = {(g, n) for g, size in enumerate(SIZES) for n in range(1, (size + 1) // 2 + 1)}
+    assert {r[:2] for r in rows(spark, games, "fn_26_move_rows")} == want
+    assert {r[0] for r in rows(spark, games, "jon_01_lookup")} == {x + k for k in games[1] for x in ("", "x")}
+    known = {r["pos_key"]: r["cp"] if r["has_cp"] else None for r in base.positions(spark, games[0]).collect()}
+    depth, front = {base.ROOT: 0}, [base.ROOT]
+    for d in range(1, 7):
+        best = [sorted(games[1].get(p, ()), key=lambda m: (known.get(m[1]) is None, -(known.get(m[1]) or 0), m[0]))[:5] for p in front]
+        front = sorted({c for moves in best for _, c in moves} - set(depth))
+        depth |= dict.fromkeys(front, d)
+    assert dict(rows(spark, games, "grf_06_beam")) == depth
+
+
+def pairs(a, b):
+    hits = {i: [j for j, p, q in b if p <= high and q >= low] for i, low, high in a}
+    return {i: (len(h), min(h)) for i, h in hits.items() if h}
+
+
+def test_overlapping_files_of_all_games(spark, games):
+    p = base.event_plies(spark, games[0]).collect()
+    files = [(g, min(r["pos_key"] for r in p if r["game_id"] == g), max(r["pos_key"] for r in p if r["game_id"] == g)) for g in range(len(SIZES))]
+    assert {r[0]: r[1:] for r in rows(spark, games, "jon_09_overlapping_files")} == pairs(files[::2], files[1::2])
+
+
+@pytest.mark.parametrize("most", [6, 40, 3000])
+def test_overlaps_are_those_of_pairs(spark, most):
+    rng = random.Random(most)
+    made = lambda n: [(i, *sorted(f"{rng.randrange(most):05d}" for _ in range(2))) for i in range(n)]
+    a, b = made(120), made(90)
+    a.append((999, "99999", "99999"))
+    frame = lambda t: spark.createDataFrame(t, "id long, low string, high string")
+    found = lookup.overlaps(frame(a), frame(b)).collect()
+    assert {r["a_id"]: (r["files"], r["first"]) for r in found} == pairs(a, b) and 999 not in {r["a_id"] for r in found}
+    assert len(found) == len(pairs(a, b))
