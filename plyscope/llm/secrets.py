@@ -45,19 +45,21 @@ class Window:
     bits: float
 
 
-#: The first class that holds all of a candidate's characters counts.
+#: The first class that holds all of a window's characters counts for it.
 WINDOWS = (
     Window("entropy_hex", re.compile(r"[0-9a-fA-F]+"), 20, 2.9),
     Window("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.6),
 )
 KINDS = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(w.kind for w in WINDOWS)])}
-#: Candidates that are known not to be secrets: UUIDs, checksums of lock files, placeholders, paths of words.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(sha(1|256|384|512)|md5)[-=_/].*", re.IGNORECASE),
-    re.compile(r".*(example|placeholder|changeme|x{6}|0{8}|123456789).*", re.IGNORECASE),
-    re.compile(r"([A-Za-z]+[/_=-]|[0-9]{1,4}[/_=-])*([A-Za-z]+|[0-9]{1,4})"),
-)
+#: What is known not to be a secret.  UUIDs are whole tokens, set apart by = and /; checksums of lock files have their digest's length.
+TOKEN = re.compile(r"[^=/]+")
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_DIGESTS = "|".join(f"{name}[-=_/](?:[0-9a-f]{{{n * 2}}}|[a-z0-9+/_-]{{{-(-n * 4 // 3)}}}{'=' * (-n % 3)})" for name, n in (("md5", 16), ("sha1", 20), ("sha256", 32), ("sha384", 48), ("sha512", 64)))
+CHECKSUM = re.compile(rf"(?<![a-z0-9+_-])(?:{_DIGESTS})(?![a-z0-9+_-])", re.IGNORECASE)
+#: Placeholders take what stands beside them in their token, unless a whole window fits there.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|x{6,}|0{8,}|123456789", re.IGNORECASE)
+#: Paths of words and short numbers.
+PATH = re.compile(r"([A-Za-z]+[/_=-]|[0-9]{1,4}[/_=-])*([A-Za-z]+|[0-9]{1,4})")
 
 Span = tuple[int, str, int]
 
@@ -112,20 +114,80 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS[s[1]]))
 
 
+def allowed(run: str) -> list[tuple[int, int]]:
+    """Spans of ``run`` that are known not to be secrets, by start."""
+    out = [m.span() for m in CHECKSUM.finditer(run)]
+    least = min(w.width for w in WINDOWS)
+    for t in TOKEN.finditer(run):
+        if UUID.fullmatch(t.group()):
+            out.append(t.span())
+            continue
+        at = t.start()
+        words = [m.span() for m in PLACEHOLDER.finditer(run, *t.span())]
+        for s, e in [*words, (t.end(), t.end())] if words else []:
+            out.append((at if s - at < least else s, e))
+            at = e
+    return sorted(out)
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a span without the spans ``taken``, which are sorted."""
+    for s, e in taken:
+        if e <= start or s >= end:
+            continue
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def stretches(run: str) -> Iterator[tuple[int, int]]:
+    """Merged suspect windows of ``run``: each window by its own class, wherever it lies."""
+    narrow, wide = WINDOWS
+    found = [(m.start() + s, m.start() + e) for m in narrow.chars.finditer(run) for s, e in suspect_windows(m.group(), narrow.width, narrow.bits)]
+    if not narrow.chars.fullmatch(run):
+        found += suspect_windows(run, wide.width, wide.bits)
+    start = end = -1
+    for s, e in sorted(found):
+        if s > end:
+            if end >= 0:
+                yield start, end
+            start = s
+        end = max(end, e)
+    if end >= 0:
+        yield start, end
+
+
+def is_path(run: str) -> bool:
+    """Whether there are only words and short numbers; those at an end may be cut off from their separators."""
+    run = run.strip("/_=-")
+    return not run or PATH.fullmatch(run) is not None
+
+
 def entropy_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans found by entropy alone: outside base spans and not on the allow-list."""
+    """Spans found by entropy alone: what lies outside base spans and isn't on the allow-list."""
     if not DIGIT.search(text):
         return []
     out = []
+    taken = sorted((s, e) for s, _, e in base)
+    hexed, least = WINDOWS[0], min(w.width for w in WINDOWS)
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if not DIGIT.search(run) or any(a.fullmatch(run) for a in ALLOWED):
+        if not DIGIT.search(run) or PATH.fullmatch(run):
             continue
-        w = next(w for w in WINDOWS if w.chars.fullmatch(run))
-        for s, e in suspect_windows(run, w.width, w.bits):
-            s, e = s + m.start(), e + m.start()
-            if not any(b[0] < e and s < b[2] for b in base):
-                out.append((s, w.kind, e))
+        for first, last in outside(0, len(run), allowed(run)):
+            part = run[first:last]
+            for s, e in stretches(part):
+                # whole tokens, so that no number is taken for a shorter one
+                before, after = max(part.rfind("=", 0, s), part.rfind("/", 0, s)) + 1, min(x for x in (part.find("=", e), part.find("/", e), len(part)) if x >= 0)
+                if is_path(part[before:after]):
+                    continue
+                s, e = s + first + m.start(), e + first + m.start()
+                for p, q in outside(s, e, taken):
+                    # a short rest of words is the name of what was found
+                    if (p, q) == (s, e) or q - p >= least or not is_path(text[p:q]):
+                        out.append((p, (hexed if hexed.chars.fullmatch(text, p, q) else WINDOWS[1]).kind, q))
     return out
 
 
