@@ -31,6 +31,8 @@ from .shared import ship, written
 WINDOW, DEPTH, STEPS = 1024, 3, 300
 #: Characters whose class the tokenizers' libraries may see differently.
 UNSETTLED = re.compile(f"[{SETTLED}-\U0010ffff]")
+#: Runs of blanks that tiktoken's pattern engine isn't given: its stack overflows at about a million.
+BLANKS = re.compile(r"\s{10000}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -43,7 +45,7 @@ def _encoder(path: str):
     e = tiktoken.Encoding("byte-level", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if UNSETTLED.search(text) or any(s in text for s in c.special):
+        if UNSETTLED.search(text) or BLANKS.search(text) or any(s in text for s in c.special):
             return np.frombuffer(c.encode_batch([text])[0], "<u4")
         return np.array(e.encode_ordinary(text), "<u4")
 

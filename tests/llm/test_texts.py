@@ -228,6 +228,15 @@ def test_packing(spark, library):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_packing_encodes_long_runs_of_blanks(blank):
+    path = bpe.default_vocabulary()
+    c = bpe.codec(path)
+    text = f"some words{blank * 2_000_000}and more"
+    got = packing._encoder(path)(text)
+    assert b"".join(c.bytes_of[i] for i in got.tolist()).decode() == text
+
+
 def test_plan_places_every_rank_once():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 40, 64)
