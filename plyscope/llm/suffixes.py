@@ -132,7 +132,7 @@ def _rows(table: pa.Table, key: str, text: str) -> tuple[np.ndarray, list[bytes]
     table = table.filter(pa.compute.is_valid(table.column(key)))
     ids = table.column(key).cast(pa.int64()).to_numpy()
     texts = [(x or "").encode() for x in table.column(text).to_pylist()]
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(t, int(i) & 0xFFFFFFFF) for i, t in zip(ids, texts, strict=True)), U, len(texts))
+    keys = np.fromiter((xxhash.xxh3_64_intdigest(t, int(i) & 0xFFFFFFFFFFFFFFFF) for i, t in zip(ids, texts, strict=True)), U, len(texts))
     return ids, texts, np.unique(keys, return_inverse=True)[1].astype("<u4")
 
 

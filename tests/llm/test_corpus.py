@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plyscope.llm import ann, components, jaccard, suffixes, topk, warc
 from plyscope.llm.shared import fresh_path
@@ -142,6 +143,15 @@ def test_repeated_passages(spark, seed, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == brute_removed(rows)
 
 
+def test_repeated_passages_with_ids_that_share_their_lower_half(spark):
+    """As monotonically_increasing_id() gives them; with so many some are in the smallest one's chunk."""
+    rows = [(1 + (k << 32), "ab" * 20 + "one passage that every copy has" * 3) for k in range(60)]
+    got = {r["doc_id"]: [tuple(r)[1:]] for r in suffixes.dedupe_digests(docs(spark, rows)).collect()}
+    assert got == brute_removed(rows) and got[1][0][1] < got[1 + (1 << 32)][0][1]
+    ids, texts = [1, 1 + (1 << 32), -1], ["same"] * 3
+    assert len(set(suffixes._rows(pa.table({"doc_id": ids, "text": texts}), "doc_id", "text")[2].tolist())) == 3
+
+
 def test_repeated_passages_in_long_texts(monkeypatch):
     """Segments of a text longer than a buffer name the same windows as the whole."""
     rng = random.Random(7)
