@@ -411,7 +411,8 @@ def _plan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(2 * width(spark), -(-size // CHUNK))
     buckets = chunks
-    d = docs.withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
+    # rows without a key match nothing, so any chunk will do for them
+    d = docs.withColumn("__chunk", F.pmod(F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(chunks)))
     marks = d.groupBy("__chunk").applyInArrow(lambda t: mark(t, key, text, buckets), MARKS)
     wanted = marks.groupBy("bucket").applyInArrow(repeated, MARKS)
     runs = d.groupBy("__chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(lambda t, w: sort_runs(t, w, key, text, buckets), RUNS)

@@ -69,7 +69,9 @@ def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", uri:
     heads = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("key").isNotNull()).select("key", "payload_digest")
     first = heads.groupBy("payload_digest").agg(F.min("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = heads.join(first, "payload_digest").where("key > refers_to").select(F.col("key").alias("later"), F.col("payload_digest").alias("digest"), "refers_to").distinct()
-    return rows.join(later, (F.col("key") == F.col("later")) & (F.col("payload_digest") == F.col("digest")), "left").drop("later", "digest")
+    joined = rows.where(F.col("key").isNotNull()).join(later, (F.col("key") == F.col("later")) & (F.col("payload_digest") == F.col("digest")), "left").drop("later", "digest")
+    # rows without a key stay where they are: a join would send them to one task
+    return joined.unionByName(rows.where(F.col("key").isNull()).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def record_id(key: Column, digest: Column) -> Column:

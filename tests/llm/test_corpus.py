@@ -223,6 +223,20 @@ def vectors(spark, seed, n=600, size=16):
     return m, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash")).withColumn("score", F.lit(1))
 
 
+def test_rows_without_a_key_are_spread(spark):
+    rows = docs(spark, [*((None, f"text {i}") for i in range(60)), (1, "same"), (2, "same")]).repartition(4)
+    d, _ = suffixes._plan(rows, "doc_id", "text")
+    assert d.where("doc_id is null").select("__chunk").distinct().count() > 2
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = warc.resolve(rows, "doc_id", "text", "lang").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert len(got) == 62 and len({r["task"] for r in got if r["key"] is None}) > 2
+    assert {r["key"]: r["refers_to"] for r in got} == {None: None, 1: None, 2: 1}
+
+
 @pytest.mark.parametrize("lists", [1, 2, 4])
 def test_exact_topk(spark, lists, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 200)
