@@ -43,9 +43,14 @@ def reachable(edges: DataFrame, roots: DataFrame, stored: DataFrame | None = Non
     return seen
 
 
-def beam(edges: DataFrame, roots: DataFrame, scores: DataFrame, depth: int = 6, width: int = 5) -> DataFrame:
-    """(pos_key, depth): as reachable(), but only each position's ``width`` best moves by (score, token) are followed."""
-    best = Window.partitionBy("parent_key").orderBy(F.col("score").desc_nulls_last(), "token")
+def beam(edges: DataFrame, roots: DataFrame, scores: DataFrame, white: Column, depth: int = 6, width: int = 5) -> DataFrame:
+    """(pos_key, depth): as reachable(), but only each position's ``width`` best moves are followed.
+
+    Scores are White's; ``white`` says of an edge whether White moves, so each
+    side follows what is best for it.  Ties go by token.
+    """
+    mine = F.when(white, F.col("score")).otherwise(-F.col("score"))
+    best = Window.partitionBy("parent_key").orderBy(mine.desc_nulls_last(), "token")
     kept = edges.join(scores.select(F.col("pos_key").alias("child_key"), "score"), "child_key", "left").withColumn("r", F.row_number().over(best)).where(F.col("r") <= width)
     return reachable(written(kept.select("parent_key", "token", "child_key"), "beam"), roots, depth=depth)
 

@@ -8,9 +8,6 @@ from ..operators.counts import count_positions, latest_evaluations, overlay
 from ..operators.explore import edges
 from ..sources.tables import TOKENS, evaluations, plies
 
-#: Plies of a game that the SQL looks at where it names this; the DataFrames take all plies, so there the SQL's rows are fewer.
-MOST_PLY = 6
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,12 +63,12 @@ layers AS (
     FROM sized, (VALUES (0), (1)) t(turn) WHERE turn = 0 OR n % 2 = 0),
 evals AS (SELECT pos_key, cp, has_cp, dtm, dtz, proven_depth, CAST(seq AS BIGINT) AS seq FROM layers WHERE has_cp OR dtm <> 0 QUALIFY row_number() OVER (PARTITION BY pos_key ORDER BY seq DESC) = 1)"""
 _POSITIONS = """
-positions AS (
+positions AS MATERIALIZED (
     SELECT pos_key, coalesce(wins, 0) AS wins, coalesce(draws, 0) AS draws, coalesce(losses, 0) AS losses, cp, has_cp, dtm, dtz, proven_depth,
         coalesce(has_cp, false) OR coalesce(dtm, 0) <> 0 AS has_eval
     FROM counts FULL JOIN evals USING (pos_key))"""
-_GRAPH = f"""
-edges AS (SELECT DISTINCT pos_key AS parent_key, token, child_key FROM plies WHERE ply < {MOST_PLY}),
+_GRAPH = """
+edges AS MATERIALIZED (SELECT DISTINCT pos_key AS parent_key, token, child_key FROM plies),
 moves AS (
     SELECT parent_key, token, child_key, coalesce(wins, 0) AS wins, coalesce(draws, 0) AS draws, coalesce(losses, 0) AS losses,
         coalesce(has_eval, false) AS has_eval, has_cp, cp, dtm, coalesce(wins, 0) + coalesce(draws, 0) + coalesce(losses, 0) AS count,

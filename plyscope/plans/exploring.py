@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..operators import explore as X
 from ..operators import graph as G
 from ..operators import lookup as K
-from .base import DISTANCE, GRAPH, KIND, MOST_PLY, PLIES, POSITIONS, ROOT, event_plies, graph, positions, table
+from .base import DISTANCE, GRAPH, KIND, PLIES, POSITIONS, ROOT, counts, event_plies, graph, positions, table
 
 
 def moves(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def srt_04_page(spark: SparkSession, d: str) -> DataFrame:
 def srt_08_batch(spark: SparkSession, d: str) -> DataFrame:
     """The first 50 extreme positions, by depth and key: a batch is the feature."""
     depths = G.reachable(graph(spark, d), roots(spark), depth=None)
-    return X.extreme(positions(spark, d), -30, 30).join(depths, "pos_key").select("pos_key", "depth", "cp", "winning").orderBy("depth", "pos_key").limit(50)
+    return X.extreme(positions(spark, d)).join(depths, "pos_key").select("pos_key", "depth", "cp", "winning").orderBy("depth", "pos_key").limit(50)
 
 
 def jon_01_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -131,19 +131,19 @@ def roots(spark: SparkSession) -> DataFrame:
 
 
 def grf_04_reachable(spark: SparkSession, d: str) -> DataFrame:
-    """Positions that moves between stored positions reach from the first."""
-    return G.reachable(graph(spark, d), roots(spark), positions(spark, d).where("has_eval"), depth=None)
+    """Positions that moves between stored positions reach from the first; a game's last position isn't stored."""
+    return G.reachable(graph(spark, d), roots(spark), counts(spark, d), depth=None)
 
 
 def grf_05_extreme_by_depth(spark: SparkSession, d: str) -> DataFrame:
     depths = G.reachable(graph(spark, d), roots(spark), depth=None)
-    return X.extreme(positions(spark, d), -30, 30).join(depths, "pos_key").groupBy("depth", "winning").agg(F.count(F.lit(1)).alias("n"), F.min("cp").alias("low"), F.max("cp").alias("high"))
+    return X.extreme(positions(spark, d)).join(depths, "pos_key").groupBy("depth", "winning").agg(F.count(F.lit(1)).alias("n"), F.min("cp").alias("low"), F.max("cp").alias("high"))
 
 
 def grf_06_beam(spark: SparkSession, d: str) -> DataFrame:
-    """From the first position the five best moves of each, six deep."""
+    """From the first position the mover's five best moves of each, six deep."""
     scores = positions(spark, d).select("pos_key", F.when(F.col("has_cp"), F.col("cp")).alias("score"))
-    return G.beam(graph(spark, d), roots(spark), scores)
+    return G.beam(graph(spark, d), roots(spark), scores, white())
 
 
 def _terminals(spark: SparkSession, d: str) -> DataFrame:
@@ -218,17 +218,21 @@ terminals AS (
     FROM (SELECT pos_key, list_sum(list_transform(string_split(pos_key, '.'), lambda x, i: i * CAST(x AS INTEGER))) % 4 AS code FROM leaves) WHERE code <> 3)"""
 
 
-def _level(n: int) -> str:
-    """Outcomes of positions of n moves, given those of n + 1."""
-    return f""",
-level{n} AS (
-    SELECT parent_key AS pos_key,
-        CASE WHEN min(distance) FILTER (kind = 'loss') IS NOT NULL THEN 'win' WHEN count(kind) < count(*) THEN NULL WHEN bool_or(kind = 'draw') THEN 'draw' ELSE 'loss' END AS kind,
-        CASE WHEN min(distance) FILTER (kind = 'loss') IS NOT NULL THEN min(distance) FILTER (kind = 'loss') + 1 WHEN bool_or(kind = 'draw') THEN 0 ELSE max(distance) + 1 END AS distance
-    FROM edges LEFT JOIN known{n + 1} k ON k.pos_key = child_key
-    WHERE list_sum(list_transform(string_split(parent_key, '.'), lambda x: CAST(x AS INTEGER))) = {n}
-    GROUP BY parent_key),
-known{n} AS (SELECT * FROM level{n} WHERE kind IS NOT NULL UNION ALL SELECT * FROM known{n + 1})"""
+#: Outcomes from the longest positions on: those of n moves follow from those of n + 1.  A row without a key goes on where nothing is known.
+_PROOF = """,
+sizes AS MATERIALIZED (SELECT *, CAST(list_sum(list_transform(string_split(parent_key, '.'), lambda x: CAST(x AS INTEGER))) AS INTEGER) AS size FROM edges),
+ends AS MATERIALIZED (SELECT *, CAST(list_sum(list_transform(string_split(pos_key, '.'), lambda x: CAST(x AS INTEGER))) AS INTEGER) AS size FROM terminals),
+known AS (
+    SELECT pos_key, kind, CAST(distance AS INTEGER) AS distance, size FROM ends WHERE size = (SELECT max(size) + 1 FROM sizes)
+    UNION ALL SELECT '', '', 0, max(size) + 1 FROM sizes
+    UNION ALL (
+    WITH prior AS (SELECT * FROM known),
+    state AS (
+        SELECT parent_key, sizes.size, min(distance) FILTER (kind = 'loss') AS quick, count(kind) = count(*) AS proven, coalesce(bool_or(kind = 'draw'), false) AS drawn, max(distance) AS slow
+        FROM sizes LEFT JOIN prior ON pos_key = child_key WHERE sizes.size = (SELECT any_value(size) - 1 FROM prior) GROUP BY parent_key, sizes.size)
+    SELECT parent_key, CASE WHEN quick IS NOT NULL THEN 'win' WHEN drawn THEN 'draw' ELSE 'loss' END, CAST(CASE WHEN quick IS NOT NULL THEN quick + 1 WHEN drawn THEN 0 ELSE slow + 1 END AS INTEGER), size FROM state WHERE quick IS NOT NULL OR proven
+    UNION ALL SELECT pos_key, kind, distance, size FROM ends WHERE size = (SELECT any_value(size) - 1 FROM prior)
+    UNION ALL SELECT '', '', 0, any_value(size) - 1 FROM prior HAVING any_value(size) > 0))"""
 
 
 _ROUND = """,
@@ -245,25 +249,25 @@ SQL = {
         , k AS (SELECT *, CAST({_SERVER} AS INTEGER) AS rank, count(*) OVER (PARTITION BY parent_key) AS n FROM moves),
         q AS (SELECT *, CAST(CASE WHEN n > 2 THEN ((rank - 1 - 2) % n + n) % n ELSE rank - 1 END AS BIGINT) AS place FROM k)
         SELECT parent_key, token, rank, place FROM q WHERE n <= 2 OR place < 2""",
-    "srt_08_batch": GRAPH + _REACH.format(root=ROOT, first="", edges="edges", where="") + " SELECT pos_key, depth, cp, cp >= 30 AS winning FROM positions JOIN depths USING (pos_key) WHERE has_cp AND dtm = 0 AND (cp <= -30 OR cp >= 30) ORDER BY depth, pos_key LIMIT 50",
+    "srt_08_batch": GRAPH + _REACH.format(root=ROOT, first="", edges="edges", where="") + " SELECT pos_key, depth, cp, cp >= 300 AS winning FROM positions JOIN depths USING (pos_key) WHERE has_cp AND dtm = 0 AND (cp <= -300 OR cp >= 300) ORDER BY depth, pos_key LIMIT 50",
     "jon_01_lookup": POSITIONS + """
-        , keys AS (SELECT pos_key FROM plies WHERE game_id % 10 = 0 UNION SELECT 'x' || pos_key FROM plies WHERE game_id % 10 = 0)
+        , keys AS (SELECT pos_key FROM plies UNION SELECT 'x' || pos_key FROM plies)
         SELECT pos_key, coalesce(wins, 0) AS wins, coalesce(draws, 0) AS draws, coalesce(losses, 0) AS losses, cp, has_cp, dtm, dtz, proven_depth, has_eval IS NOT NULL AS found FROM keys LEFT JOIN positions USING (pos_key)""",
     "jon_04_children": GRAPH + " SELECT parent_key, token, child_key, wins, draws, losses, has_eval, has_cp, cp, dtm FROM moves",
-    "jon_06_openings": PLIES + _NAMES + f" SELECT pos_key, eco, name FROM (SELECT DISTINCT pos_key FROM plies WHERE ply < {MOST_PLY}) LEFT JOIN names USING (pos_key)",
+    "jon_06_openings": PLIES + _NAMES + " SELECT pos_key, eco, name FROM (SELECT DISTINCT pos_key FROM plies) LEFT JOIN names USING (pos_key)",
     "jon_07_stored_children": GRAPH + " SELECT parent_key, token, child_key FROM edges WHERE child_key IN (SELECT pos_key FROM counts WHERE wins + draws + losses > 0)",
     "jon_08_missing_children": GRAPH + " SELECT parent_key, token, child_key FROM edges WHERE child_key NOT IN (SELECT pos_key FROM plies WHERE game_id % 2 = 0)",
-    "jon_09_overlapping_files": PLIES + f"""
-        , f AS (SELECT game_id AS id, min(pos_key) AS low, max(pos_key) AS high FROM plies WHERE ply < {MOST_PLY} GROUP BY 1)
-        SELECT a.id AS a_id, count(*) AS files, min(b.id) AS first FROM f a JOIN f b ON a.low <= b.high AND a.high >= b.low WHERE a.id % 10 = 0 AND b.id % 2 = 1 GROUP BY a.id""",
+    "jon_09_overlapping_files": PLIES + """
+        , f AS (SELECT game_id AS id, min(pos_key) AS low, max(pos_key) AS high FROM plies GROUP BY 1)
+        SELECT a.id AS a_id, count(*) AS files, min(b.id) AS first FROM f a JOIN f b ON a.low <= b.high AND a.high >= b.low WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id""",
     "jon_10_rightmost_file": """
         SELECT e.user_id, epoch_us(e.ts) AS at, p.event_id AS id
         FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""",
     "jon_16_filled": GRAPH + " SELECT parent_key, token, child_key, CASE WHEN wins > losses THEN count ELSE -1 END AS count FROM moves",
     "prj_05_nodes": POSITIONS + _NAMES + f" SELECT pos_key, wins, draws, losses, {_NODE}, eco, name FROM positions LEFT JOIN names USING (pos_key)",
-    "prj_09_last_opening": PLIES + _NAMES + f"""
+    "prj_09_last_opening": PLIES + _NAMES + """
         SELECT game_id, ply, pos_key, last_value(eco IGNORE NULLS) OVER w AS eco, last_value(name IGNORE NULLS) OVER w AS name
-        FROM plies LEFT JOIN names USING (pos_key) WHERE ply < {MOST_PLY} WINDOW w AS (PARTITION BY game_id ORDER BY ply ROWS UNBOUNDED PRECEDING)""",
+        FROM plies LEFT JOIN names USING (pos_key) WINDOW w AS (PARTITION BY game_id ORDER BY ply ROWS UNBOUNDED PRECEDING)""",
     "prj_12_move_rows": GRAPH + f"""
         , s AS (SELECT parent_key, token, count, sign, CASE WHEN has_cp THEN cp END AS cp, coalesce({_SHOWN}, 0) AS shown FROM (SELECT * REPLACE (coalesce(dtm, 0) AS dtm) FROM moves)),
         v AS (SELECT *, CASE WHEN shown <> 0 THEN shown ELSE coalesce(cp, 0) END * sign AS mine FROM s)
@@ -272,10 +276,10 @@ SQL = {
             CASE WHEN mine > 0 THEN 'win' WHEN mine < 0 THEN 'loss' ELSE 'draw' END AS class,
             CASE WHEN count >= 1000 THEN printf('%.1fK', count / 1000) ELSE CAST(count AS VARCHAR) END AS games
         FROM v""",
-    "grf_04_reachable": GRAPH + _REACH.format(root=ROOT, first=f"WHERE EXISTS (SELECT 1 FROM positions WHERE pos_key = '{ROOT}' AND has_eval)", edges="edges", where="WHERE child_key IN (SELECT pos_key FROM positions WHERE has_eval)") + " SELECT * FROM depths",
-    "grf_05_extreme_by_depth": GRAPH + _REACH.format(root=ROOT, first="", edges="edges", where="") + " SELECT depth, cp >= 30 AS winning, count(*) AS n, min(cp) AS low, max(cp) AS high FROM positions JOIN depths USING (pos_key) WHERE has_cp AND dtm = 0 AND (cp <= -30 OR cp >= 30) GROUP BY 1, 2",
-    "grf_06_beam": GRAPH + ", best AS (SELECT parent_key, token, child_key FROM moves QUALIFY row_number() OVER (PARTITION BY parent_key ORDER BY CASE WHEN has_cp THEN cp END DESC NULLS LAST, token) <= 2)" + _REACH.format(root=ROOT, first="", edges="best", where="WHERE depth < 4") + " SELECT * FROM depths",
-    "grf_07_proof": GRAPH + _LAST + f", known{MOST_PLY} AS (SELECT * FROM terminals)" + "".join(map(_level, range(MOST_PLY - 1, -1, -1))) + " SELECT pos_key, kind, CAST(distance AS INTEGER) AS distance FROM known0",
+    "grf_04_reachable": GRAPH + _REACH.format(root=ROOT, first=f"WHERE EXISTS (SELECT 1 FROM counts WHERE pos_key = '{ROOT}')", edges="edges", where="WHERE child_key IN (SELECT pos_key FROM counts)") + " SELECT * FROM depths",
+    "grf_05_extreme_by_depth": GRAPH + _REACH.format(root=ROOT, first="", edges="edges", where="") + " SELECT depth, cp >= 300 AS winning, count(*) AS n, min(cp) AS low, max(cp) AS high FROM positions JOIN depths USING (pos_key) WHERE has_cp AND dtm = 0 AND (cp <= -300 OR cp >= 300) GROUP BY 1, 2",
+    "grf_06_beam": GRAPH + ", best AS (SELECT parent_key, token, child_key FROM moves QUALIFY row_number() OVER (PARTITION BY parent_key ORDER BY CASE WHEN has_cp THEN sign * cp END DESC NULLS LAST, token) <= 5)" + _REACH.format(root=ROOT, first="", edges="best", where="WHERE depth < 6") + " SELECT * FROM depths",
+    "grf_07_proof": GRAPH + _LAST + _PROOF + " SELECT pos_key, kind, distance FROM known WHERE pos_key <> ''",
     "agg_15_minimax_round": GRAPH + _LAST + _ROUND,
     "str_07_work_items": POSITIONS + """
         SELECT pos_key, CAST(min(priority) AS INTEGER) AS priority FROM (

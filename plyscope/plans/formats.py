@@ -179,7 +179,7 @@ SQL = {
         FROM s""",
     "fn_26_move_rows": """
         WITH p AS (SELECT user_id AS game_id, event_type AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS ply FROM events)
-        SELECT game_id, CAST(ply // 2 + 1 AS INTEGER) AS number, max(token) FILTER (ply % 2 = 0) AS white, max(token) FILTER (ply % 2 = 1) AS black FROM p WHERE ply < 20 GROUP BY 1, 2""",
+        SELECT game_id, CAST(ply // 2 + 1 AS INTEGER) AS number, max(token) FILTER (ply % 2 = 0) AS white, max(token) FILTER (ply % 2 = 1) AS black FROM p GROUP BY 1, 2""",
     "fn_27_paths": """
         WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
         SELECT page_id, CAST(len(parts) AS INTEGER) AS parts, array_to_string(parts[1:2], '/') AS first, array_to_string(parts[1:len(parts) - 1], '/') AS up FROM p""",

@@ -51,7 +51,7 @@ def test_searches_reach_all_plies(spark, games):
     found = graph.reachable(base.graph(spark, games[0]), spark.createDataFrame([(base.ROOT,)], "pos_key string"), depth=None).collect()
     assert {r["pos_key"]: r["depth"] for r in found} == {k: played(k) for k in {*games[1], *(c for m in games[1].values() for _, c in m)}}
     known = {r["pos_key"]: r for r in base.positions(spark, games[0]).collect()}
-    hits = [k for k, r in known.items() if r["has_cp"] and r["dtm"] == 0 and abs(r["cp"]) >= 30]
+    hits = [k for k, r in known.items() if r["has_cp"] and r["dtm"] == 0 and abs(r["cp"]) >= 300]
     assert sum(r[2] for r in rows(spark, games, "grf_05_extreme_by_depth")) == len(hits)
     assert [r[0] for r in rows(spark, games, "srt_08_batch")] == sorted(hits, key=lambda k: (played(k), k))[:50]
 
@@ -85,7 +85,7 @@ def test_small_jobs_take_all_games_and_plies(spark, games):
     known = {r["pos_key"]: r["cp"] if r["has_cp"] else None for r in base.positions(spark, games[0]).collect()}
     depth, front = {base.ROOT: 0}, [base.ROOT]
     for d in range(1, 7):
-        best = [sorted(games[1].get(p, ()), key=lambda m: (known.get(m[1]) is None, -(known.get(m[1]) or 0), m[0]))[:5] for p in front]
+        best = [sorted(games[1].get(p, ()), key=lambda m: (known.get(m[1]) is None, (1 if played(p) % 2 else -1) * (known.get(m[1]) or 0), m[0]))[:5] for p in front]
         front = sorted({c for moves in best for _, c in moves} - set(depth))
         depth |= dict.fromkeys(front, d)
     assert dict(rows(spark, games, "grf_06_beam")) == depth
