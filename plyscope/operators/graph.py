@@ -1,12 +1,13 @@
-"""Searches over the graph of positions, level by level.
+"""Searches over the graph of positions.
 
-Each level is one join; what has been visited is taken out by an anti join,
-so cycles end, and is written, so that lineage doesn't grow.
+A step of a search is one join with the moves.  They are dealt to partitions
+by the key that is joined on once, and kept, so a step moves only what is new.
+What a search has found is written, so that lineage doesn't grow.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 MOST_DEPTH, MOST_PLIES = 20, 50
-#: Levels that are read one by one before they are written as one.
+#: Levels of a search that one job goes on before what it found is written and compared with what was known.
 LEVELS = 8
+KINDS = ("win", "draw", "loss")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, stored: DataFrame | None = None, depth: int | None = MOST_DEPTH) -> DataFrame:
@@ -24,22 +26,33 @@ def reachable(edges: DataFrame, roots: DataFrame, stored: DataFrame | None = Non
     With ``stored`` only positions found there count and are expanded.  With
     None for ``depth`` the search goes on until nothing is new.
     """
-    edges = written(edges.select(F.col("parent_key").alias("pos_key"), "child_key"), "edges")
+    moves = edges.select(F.col("parent_key").alias("pos_key"), "child_key").distinct()
     rows = roots.select("pos_key").distinct()
     if stored is not None:
-        stored = written(stored.select("pos_key"), "stored")
-        rows = rows.join(stored.select("pos_key"), "pos_key", "left_semi")
+        stored = written(stored.select("pos_key").distinct(), "stored")
+        rows = rows.join(stored, "pos_key", "left_semi")
+        moves = moves.join(stored.withColumnRenamed("pos_key", "child_key"), "child_key", "left_semi")
+    moves = written(moves.select("pos_key", "child_key", F.lit(1).alias("far")), "moves")
+    # every position also stays where it is, so that a level needs no second way for what came before it
+    ends = moves.select("pos_key").unionByName(moves.select(F.col("child_key").alias("pos_key"))).unionByName(rows).distinct()
+    moves = moves.unionByName(ends.select("pos_key", F.col("pos_key").alias("child_key"), F.lit(0).alias("far"))).repartition("pos_key").persist()
     seen = front = written(rows.withColumn("depth", F.lit(0)), "level")
-    for d in count(1) if depth is None else range(1, depth + 1):
-        new = front.join(edges, "pos_key").select(F.col("child_key").alias("pos_key")).distinct()
-        if stored is not None:
-            new = new.join(stored.select("pos_key"), "pos_key", "left_semi")
-        front = written(new.join(seen, "pos_key", "left_anti").withColumn("depth", F.lit(d)), "level")
+    at = 0
+    while depth is None or at < depth:
+        steps = LEVELS if depth is None else min(LEVELS, depth - at)
+        found = front
+        for d in range(at, at + steps):
+            on = found.join(moves, "pos_key").where((F.col("far") == 0) | (F.col("depth") == d))
+            found = on.groupBy(F.col("child_key").alias("pos_key")).agg(F.min(F.col("depth") + F.col("far")).alias("depth"))
+        new = written(found.where(F.col("depth") > at).join(seen.select("pos_key"), "pos_key", "left_anti"), "level")
+        seen = seen.unionByName(new)
+        at += steps
+        front = new.where(F.col("depth") == at)
         if not front.limit(1).count():
             break
-        seen = seen.unionByName(front)
-        if d % LEVELS == 0:
+        if at % (LEVELS * LEVELS) == 0:
             seen = written(seen, "level")
+    moves.unpersist()
     return seen
 
 
@@ -52,7 +65,7 @@ def beam(edges: DataFrame, roots: DataFrame, scores: DataFrame, white: Column, d
     mine = F.when(white, F.col("score")).otherwise(-F.col("score"))
     best = Window.partitionBy("parent_key").orderBy(mine.desc_nulls_last(), "token")
     kept = edges.join(scores.select(F.col("pos_key").alias("child_key"), "score"), "child_key", "left").withColumn("r", F.row_number().over(best)).where(F.col("r") <= width)
-    return reachable(written(kept.select("parent_key", "token", "child_key"), "beam"), roots, depth=depth)
+    return reachable(written(kept.select("parent_key", "child_key"), "beam"), roots, depth=depth)
 
 
 def prove(edges: DataFrame, terminals: DataFrame, most: int | None = MOST_PLIES) -> DataFrame:
@@ -64,24 +77,50 @@ def prove(edges: DataFrame, terminals: DataFrame, most: int | None = MOST_PLIES)
     (distance 0), else a loss, one ply later than the slowest.  Round n fixes
     outcomes up to distance n, so wins are minimal; cycles stay unproven.  With
     None for ``most`` rounds go on until nothing is new.
+
+    A round joins the moves to what the last one proved, and keeps of every
+    open position how many of its moves are still unproven.
     """
-    edges = written(edges.select("parent_key", "child_key"), "edges")
     known = written(terminals.select("pos_key", "kind", F.col("distance").cast("int").alias("distance")), "proof")
-    lost = F.col("kind") == "loss"
-    for n in count(1) if most is None else range(1, most + 1):
-        by = edges.join(known.withColumnRenamed("pos_key", "child_key"), "child_key", "left").groupBy("parent_key")
-        state = by.agg(F.min(F.when(lost, F.col("distance"))).alias("quick"), F.every(F.col("kind").isNotNull()).alias("all"), F.coalesce(F.max(F.col("kind") == "draw"), F.lit(False)).alias("draw"), F.max("distance").alias("slow"))
-        kind = F.when(F.col("quick").isNotNull(), F.lit("win")).when(F.col("all") & F.col("draw"), F.lit("draw")).when(F.col("all"), F.lit("loss"))
-        distance = F.when(kind == "win", F.col("quick") + 1).when(kind == "draw", F.lit(0)).otherwise(F.col("slow") + 1)
-        found = state.select(F.col("parent_key").alias("pos_key"), kind.alias("kind"), distance.cast("int").alias("distance")).where("kind is not null").join(known, "pos_key", "left_anti")
-        found = written(found, "proof")
-        now = found.where(F.col("distance") <= n)
-        if not now.limit(1).count():
-            if not found.limit(1).count():
-                break
-            continue
-        known = written(known.unionByName(now), "proof")
-    return known
+    moves = written(edges.select("parent_key", F.col("child_key").alias("pos_key")).distinct(), "moves")
+    number = lambda c: F.lit(None).cast("int").alias(c)
+    open_ = moves.groupBy(F.col("parent_key").alias("pos_key")).agg(F.count(F.lit(1)).alias("unproven")).join(known, "pos_key", "left_anti")
+    code = sum((F.when(F.col("kind") == k, F.lit(i)).otherwise(F.lit(0)) for i, k in enumerate(KINDS, 1)), F.lit(0))  # numbers are aggregated by hashing, texts aren't
+    first = known.select("pos_key", F.lit(0).cast("long").alias("unproven"), number("quick"), number("slow"), F.lit(False).alias("drawn"), code.cast("int").alias("kind"), "distance", F.lit(0).alias("round"))
+    nodes = written(first.unionByName(open_.select("pos_key", "unproven", number("quick"), number("slow"), F.lit(False).alias("drawn"), number("kind"), number("distance"), number("round"))), "proof")
+    # a move of a position to itself carries what is known of it on to the next round
+    own = nodes.select("pos_key", F.col("pos_key").alias("to"), F.lit(True).alias("own"))
+    moves = moves.select("pos_key", F.col("parent_key").alias("to"), F.lit(False).alias("own")).unionByName(own).repartition("pos_key").persist()
+    mine = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    told = lambda c: F.when(~F.col("own"), c)
+    win, draw, loss = (F.lit(i) for i in range(1, 4))
+    lost, kind, distance = F.col("kind") == loss, F.col("kind"), F.col("distance")
+    decided = F.when(F.col("quick").isNotNull(), win).when((F.col("unproven") == 0) & F.col("drawn"), draw).when(F.col("unproven") == 0, loss)
+    far = F.when(F.col("quick").isNotNull(), F.col("quick") + 1).when(F.col("drawn"), F.lit(0)).otherwise(F.col("slow") + 1)
+    parts, at = [known], 0
+    while most is None or at < most:
+        steps = LEVELS if most is None else min(LEVELS, most - at)
+        for n in range(at + 1, at + steps + 1):
+            on = nodes.join(moves, "pos_key").where(F.col("own") | (F.col("round") == n - 1))
+            nodes = on.groupBy(F.col("to").alias("pos_key")).agg(
+                F.sum(F.when(F.col("own"), F.col("unproven")).otherwise(F.lit(-1))).alias("unproven"),
+                F.min(F.coalesce(told(F.when(lost, distance)), F.when(F.col("own"), F.col("quick")))).alias("quick"),
+                F.max(F.coalesce(told(distance), F.when(F.col("own"), F.col("slow")))).alias("slow"),
+                F.max(F.when(F.col("own"), F.col("drawn")).otherwise(kind == draw)).alias("drawn"),
+                mine("kind"), mine("distance"), mine("round"), F.max("own").alias("there"),
+            ).where("there")
+            now = kind.isNull() & decided.isNotNull() & (far <= n)
+            nodes = nodes.select("pos_key", "unproven", "quick", "slow", "drawn", F.when(now, decided).otherwise(kind).alias("kind"), F.when(now, far).otherwise(distance).cast("int").alias("distance"), F.when(now, F.lit(n)).otherwise(F.col("round")).alias("round"))
+        nodes = written(nodes, "proof")
+        proven, later = nodes.agg(F.count_if(F.col("round") > at), F.count_if(kind.isNull() & decided.isNotNull())).first()
+        if proven:
+            parts.append(nodes.where(F.col("round") > at).select("pos_key", F.element_at(F.array(*map(F.lit, KINDS)), kind).alias("kind"), "distance"))
+        elif not later:
+            break
+        at += steps
+        nodes = nodes.where(kind.isNull() | (F.col("round") == at))
+    moves.unpersist()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def one_round(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -90,5 +129,5 @@ def one_round(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def by_depth(results: DataFrame, key: str, score: Column, depth: Column) -> DataFrame:
-    """Per key the score of the deepest search."""
-    return results.groupBy(key).agg(F.max_by(score, depth).alias("score"), F.max(depth).alias("depth"))
+    """Per key the score of the deepest search; of several equally deep ones the highest."""
+    return results.groupBy(key).agg(F.max_by(score, F.struct(depth, score)).alias("score"), F.max(depth).alias("depth"))
