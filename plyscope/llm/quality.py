@@ -3,9 +3,14 @@
 A labelled good text is preferred to a labelled bad one with probability
 sigmoid(score(good) - score(bad)); the weights minimise the logistic loss of
 feature differences over such pairs.  Features are statistics of the whole
-text, each cut into bins by its quantiles over the training texts, so that a
-score is a sum of one weight per feature.  A quantile of the training scores
-is the threshold, and scores are shifted so that it lies at ``THRESHOLD``.
+text, each cut into bins by its quantiles over the training texts, and what it
+says: the shares of its words and pairs of words in GRAMS cells that their
+hashes name.  A score is one weight per statistic's bin plus the mean weight
+of the cells.  A quantile of the training scores is the threshold, and scores
+are shifted so that it lies at ``THRESHOLD``.
+
+The sample is drawn and put in order by hashes of the keys, so a model depends
+on the rows alone, not on how they are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +32,10 @@ THRESHOLD = 0.3
 #: Most labelled rows that a model is fitted on, the first by a hash of their ids.
 SAMPLE = 20_000
 PAIRS, BINS, STEPS, SEED = 60_000, 12, 400, 7
+#: Cells for hashed words and pairs of words, and how strongly their weights are drawn to 0.
+GRAMS, CALM = 1024, 1e-3
+#: Hashes of words that a Python worker keeps.
+WORDS = 200_000
 
 FEATURES = (
     "bytes", "words", "word_bytes", "upper", "digit", "stop", "comma", "exclaim", "bar", "junk", "quote", "other", "line_words",
@@ -60,53 +70,85 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+class WordHashes(dict):
+    """32-bit hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+        return h
+
+
+_hashes = WordHashes()
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Cell of every word and every pair of neighbouring words of a text, in lower case."""
+    words = (text or "").encode().lower().split()
+    if len(_hashes) > WORDS:
+        _hashes.clear()
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    both = np.concatenate([h * np.uint64(0xBF58476D1CE4E5B9), pairs * np.uint64(0xBF58476D1CE4E5B9)])
+    return (both >> np.uint64(54)).astype(np.int64) % GRAMS
+
+
+def shares(cells: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of a text's grams in the cells, so that common ones don't drown the others."""
+    count = np.bincount(cells, minlength=GRAMS).astype(float)
+    return np.sqrt(count / max(len(cells), 1))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Bin borders by feature, weights by feature and bin, and the score at the threshold."""
+    """Bin borders by feature, weights by feature and bin, weights of cells, and the score at the threshold."""
 
     borders: np.ndarray
     weights: np.ndarray
+    cells: np.ndarray
     cut: float
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
+    def raw(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
         bins = np.stack([np.searchsorted(b, x[:, k], "right") for k, b in enumerate(self.borders)], 1)
-        return self.weights[np.arange(x.shape[1]), bins].sum(1)
+        return self.weights[np.arange(x.shape[1]), bins].sum(1) + (g * self.cells).sum(1)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
         at = np.log(THRESHOLD / (1 - THRESHOLD))
-        return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.cut + at, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(x, g) - self.cut + at, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Learn from features and labels (1 good, 0 bad).
+def fit(x: np.ndarray, g: np.ndarray, y: np.ndarray) -> Model:
+    """Learn from statistics, shares of cells and labels (1 good, 0 bad).
 
     Without labels of both kinds every text scores 1 or 0, as the labels
     say, or 1 without any.
     """
     borders = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(x) else np.zeros((len(FEATURES), BINS - 1))
-    weights = np.zeros((len(FEATURES), BINS))
+    weights, cells = np.zeros((len(FEATURES), BINS)), np.zeros(GRAMS)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Model(borders, weights, 50.0 if len(bad) else -50.0)
+        return Model(borders, weights, cells, 50.0 if len(bad) else -50.0)
     bins = np.stack([np.searchsorted(b, x[:, k], "right") for k, b in enumerate(borders)], 1) + np.arange(len(FEATURES)) * BINS
     rng = np.random.default_rng(SEED)
-    a, b = bins[rng.choice(good, PAIRS)], bins[rng.choice(bad, PAIRS)]
-    flat, velocity = weights.ravel(), np.zeros(weights.size)
+    a, b = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
+    flat, velocity, drift = weights.ravel(), np.zeros(weights.size), np.zeros(GRAMS)
     for _ in range(STEPS):  # gradient descent with momentum on the mean logistic loss
-        miss = 1 / (1 + np.exp(np.clip(flat[a].sum(1) - flat[b].sum(1), -50, 50)))
-        back = np.repeat(miss, len(FEATURES)) / PAIRS
-        gradient = np.bincount(b.ravel(), back, weights.size) - np.bincount(a.ravel(), back, weights.size) + 1e-4 * flat
+        s = flat[bins].sum(1) + g @ cells
+        miss = 1 / (1 + np.exp(np.clip(s[a] - s[b], -50, 50))) / PAIRS
+        by_text = np.bincount(b, miss, len(s)) - np.bincount(a, miss, len(s))
+        gradient = np.bincount(bins.ravel(), np.repeat(by_text, len(FEATURES)), weights.size) + 1e-4 * flat
         velocity = 0.9 * velocity - 2.0 * gradient
         flat = flat + velocity
-    model = Model(borders, flat.reshape(weights.shape), 0.0)
+        drift = 0.9 * drift - 2.0 * (by_text @ g + CALM * cells)
+        cells = cells + drift
+    model = Model(borders, flat.reshape(weights.shape), cells, 0.0)
     # of all quantiles of the training scores, the one that puts fewest texts on the wrong side
-    raw = model.raw(x)
+    raw = model.raw(x, g)
     order = np.argsort(raw, kind="stable")
     wrong = np.concatenate([[0], np.cumsum(y[order] == 1)]) + np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y[order] == 0)])
     k = int(np.argmin(wrong))
     s = raw[order]
     cut = s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2
-    return Model(borders, model.weights, float(cut))
+    return Model(borders, model.weights, cells, float(cut))
 
 
 def held_out(key: Column) -> Column:
@@ -117,33 +159,41 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fit a model on at most SAMPLE labelled rows that aren't held out.
 
-    Labels other than 0 and 1 and null keys are skipped; a key with several
-    labels or texts counts with each.  The sample bounds what the driver and
-    the broadcast hold.
+    Labels other than 0 and 1 and null keys are skipped.  A key with several
+    labels counts with each, one with several texts with that of the smallest
+    hash, repeated rows once.  The sample bounds what the driver and the
+    broadcast hold.
     """
-    k = F.col(key)
-    some = labels.select(k, F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & k.isNotNull() & ~held_out(k)).orderBy(F.xxhash64(k), k, "label").limit(SAMPLE)
-    found = _featured(docs.select(k, F.col(text).alias("text")).join(F.broadcast(some), key), ["label"]).limit(4 * SAMPLE).toPandas()
-    x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, found["label"].to_numpy())
-
-
-def _featured(rows: DataFrame, keep: list[str]) -> DataFrame:
-    ship(rows.sparkSession)
-    rows = rows.select(*keep, "text")
-    schema = T.StructType([*(rows.schema[k] for k in keep), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    spark = docs.sparkSession
+    ship(spark)
+    k = F.col("key")
+    some = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & k.isNotNull() & ~held_out(k))
+    some = some.distinct().orderBy(F.xxhash64(k), k, "label").limit(SAMPLE)
+    # a text's hash first, so that of equal keys one text is looked at, whatever the partitions
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(some), "key")
+    once = rows.groupBy("key", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    schema = T.StructType([once.schema["key"], once.schema["label"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("g", T.BinaryType())])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))], schema.names)
+            texts = b.column(2).to_pylist()
+            cells = [shares(grams(t)).astype(np.float32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(map(features, texts), pa.list_(pa.float64())), pa.array(cells, pa.binary())], schema.names)
 
-    return rows.mapInArrow(mapped, schema)
+    found = once.mapInArrow(mapped, schema).orderBy(F.xxhash64("key"), "key", "label").toPandas()  # SAMPLE rows at most
+    x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
+    g = np.frombuffer(b"".join(found["g"]), np.float32).reshape(-1, GRAMS).astype(float)
+    return fit(x, g, found["label"].to_numpy())
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
-    x = np.array([features(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))
-    return model.score(x)
+    """Scores of whole texts, a text at a time: equal texts score equally in any batch."""
+    out = []
+    for t in texts:
+        text = t.as_py()
+        x = np.array(features(text)).reshape(1, -1)
+        out.append(model.score(x, shares(grams(text)).astype(np.float32).astype(float)[None])[0])
+    return np.array(out, float)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
