@@ -6,6 +6,12 @@ the same length with a right check digit, a date another real date.  Equal
 values get equal pseudonyms wherever they occur, so links across documents
 survive, and no two values share one.
 
+Where a format can't show every value of its domain, a value is permuted
+again and again until it can (cycle walking), which keeps the map one to one.
+
+Not covered: IPv6 addresses, IBANs, national numbers without separators,
+phone numbers without an area or country code, names and addresses.
+
 A text is cut at the matches of one pattern (``split`` and
 ``regexp_extract_all`` see the same matches), each match is validated and
 mapped by expressions, and the parts are put together again.
@@ -19,18 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Dates from FIRST_DAY on, DATE_HIGH * DATE_LOW days, are permuted among themselves (1900-01-01 to 2101-01-26).
-FIRST_DAY = "1900-01-01"
-DATE_HIGH, DATE_LOW = 272, 270
+#: Steps of a cycle walk: each hits with at least two chances in five, so a walk that needs more doesn't occur.
+WALKS = 64
+EPOCH = "0001-01-01"
+#: Days from EPOCH on in three domains, each permuted within itself: first day, high and low halves (up to 1899, 1900-01-01 to 2101-01-26, up to 9999).
+DOMAINS = ((0, 745, 931), (693_595, 272, 270), (767_035, 1424, 2026))
 
 #: Kind, pattern.  Of matches at one place the first kind counts.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
-    ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
+    ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])|(?<![0-9])(?:[0-9]{4}[ -]){4}[0-9]{1,3}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\)|[ .-]?[0-9]{1,12})(?:[ .-]?[0-9]{1,8}){0,5}(?![0-9])"),
 )
 KINDS = tuple(k for k, _ in PATTERNS)
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
@@ -124,36 +132,81 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO dates, month-first dates with slashes and day-first dates with points."""
+    """ISO dates, dates with slashes (month first, else day first) and day-first dates with points.
+
+    A format with two digits each and one without leading zeros are apart,
+    and so are dates that only a day-first reading allows, so each of these
+    is permuted within itself.
+    """
+    parts = F.split(m, "[/.-]")
+    short = (F.length(parts[0]) == 1) | (F.length(parts[1]) == 1)
+    read = lambda layout: F.try_to_date(m, layout)
+    month, day = (lambda d: F.month(d) < 10), (lambda d: F.dayofmonth(d) < 10)
+    any_, either, late = (lambda d: F.lit(True)), (lambda d: month(d) | day(d)), (lambda d: F.dayofmonth(d) > 12)
+    slashed, pointed, dashed = (F.contains(m, F.lit(x)) for x in "/.-")
+    ways = (
+        (dashed, "yyyy-MM-dd", any_),
+        (slashed & ~short & read("MM/dd/yyyy").isNotNull(), "MM/dd/yyyy", any_),
+        (slashed & ~short, "dd/MM/yyyy", late),
+        (slashed & read("M/d/yyyy").isNotNull(), "M/d/yyyy", either),
+        (slashed, "d/M/yyyy", lambda d: late(d) & month(d)),
+        (pointed & ~short, "dd.MM.yyyy", any_),
+        (pointed, "d.M.yyyy", either),
+    )
     out = F.lit(None).cast("string")
-    for mark, layout in (("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy"), ("-", "yyyy-MM-dd")):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        out = F.when(F.contains(m, F.lit(mark)), _bound(day, _day(key, layout))).otherwise(out)
+    for fits, layout, shown in reversed(ways):
+        out = F.when(fits, _bound(F.datediff(read(layout), F.lit(EPOCH).cast("date")), _day(key, layout, shown))).otherwise(out)
     return out
 
 
-def _day(key: str, layout: str) -> Callable[[Column], Column]:
+def _as_date(day: Column) -> Column:
+    return F.date_add(F.lit(EPOCH).cast("date"), day.cast("int"))
+
+
+def _day(key: str, layout: str, shown: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A day of a domain as another day there for which ``shown`` holds, in the layout."""
+
     def mapped(d: Column) -> Column:
-        halves = permuted(F.floor(d / DATE_LOW), d % DATE_LOW, key, "date", F.lit(DATE_HIGH), F.lit(DATE_LOW))
-        new = _bound(F.array(*halves), lambda v: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (v[0] * DATE_LOW + v[1]).cast("int")), layout))
-        return F.when(d.between(0, DATE_HIGH * DATE_LOW - 1), new)
+        pick = lambda k: F.when(d < DOMAINS[1][0], F.lit(DOMAINS[0][k])).when(d < DOMAINS[2][0], F.lit(DOMAINS[1][k])).otherwise(F.lit(DOMAINS[2][k]))
+        first, highs, lows = (pick(k) for k in range(3))
+
+        def step(at: Column, i: Column) -> Column:
+            once = lambda v: _bound(F.array(*permuted(F.floor((v - first) / lows), (v - first) % lows, key, "date", highs, lows)), lambda h: first + h[0] * lows + h[1])
+            return F.when((i > 0) & shown(_as_date(at)), at).otherwise(once(at))
+
+        new = F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), d.cast("long"), step)
+        return F.when(d >= 0, _bound(new, lambda v: F.when(shown(_as_date(v)), F.date_format(_as_date(v), layout))))
 
     return mapped
 
 
+def _in_shape(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced by those of ``digits``, in order."""
+
+    def char(i: Column) -> Column:
+        c = F.substring(m, i, F.lit(1))
+        before = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9]", ""))
+        return F.when(c.between("0", "9"), F.substring(digits, before, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), char), "")
+
+
+def _shifted_digits(d: Column, key: str, kind: str) -> Column:
+    """Digits of any number from 2 on, permuted among those of the same length."""
+    low_n = F.floor(F.length(d) / 2).cast("int")
+    high_n = F.length(d) - low_n
+    size = lambda n: F.pow(F.lit(10), n).cast("long")
+    halves = permuted(_long(F.substring(d, F.lit(1), high_n)), _long(F.substring(d, high_n + 1, low_n)), key, kind, size(high_n), size(low_n))
+    return _bound(F.array(*halves), lambda v: F.concat(F.lpad(v[0].cast("string"), high_n, "0"), F.lpad(v[1].cast("string"), low_n, "0")))
+
+
 def _card(m: Column, key: str) -> Column:
     """Length, separators and first digit stay; the check digit is made right again."""
 
     def mapped(d: Column) -> Column:
-        n = F.length(d) - 2  # digits between the first and the check digit
-        low_n = F.floor(n / 2).cast("int")
-        highs, lows = F.pow(F.lit(10), n - low_n).cast("long"), F.pow(F.lit(10), low_n).cast("long")
-        halves = permuted(_long(F.substring(d, F.lit(2), n - low_n)), _long(F.substring(d, 2 + n - low_n, low_n)), key, "card", highs, lows)
-        inner = _bound(F.array(*halves), lambda v: F.concat(F.substring(d, 1, 1), F.lpad(v[0].cast("string"), n - low_n, "0"), F.lpad(v[1].cast("string"), low_n, "0")))
+        inner = F.concat(F.substring(d, 1, 1), _shifted_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         whole = _bound(inner, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
-        mark = lambda g: F.regexp_extract(m, "^[0-9]{4}([ -]?)[0-9]{4}([ -]?)[0-9]{4}([ -]?)", g)
-        shaped = _bound(whole, lambda x: F.concat(F.substring(x, 1, 4), mark(1), F.substring(x, 5, 4), mark(2), F.substring(x, 9, 4), mark(3), F.substring(x, 13, 7)))
-        return F.when(luhn(d) == 0, shaped)
+        return F.when(luhn(d) == 0, _bound(whole, lambda x: _in_shape(m, x)))
 
     return _bound(F.regexp_replace(m, "[^0-9]", ""), mapped)
 
@@ -175,7 +228,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Country code and shape stay; area and exchange codes keep to 2xx-9xx, or to 0xx-1xx."""
+    """Numbers of ten digits by area and exchange, others with a country code by their digits; shape and country code stay."""
     shape = r"^((?:\+[0-9]{1,3}[ .-]?)?\(?)([0-9]{3})(\) ?|[ .-])([0-9]{3})([ .-])([0-9]{4})$"
     group = lambda g: F.regexp_extract(m, shape, g)
 
@@ -188,21 +241,35 @@ def _phone(m: Column, key: str) -> Column:
             lambda v: F.concat(group(1), _padded(F.floor(v[0] / size(p[1])) + first(p[0]), 3), group(3), _padded(v[0] % size(p[1]) + first(p[1]), 3), group(5), _padded(v[1], 4)),
         )
 
-    return _bound(F.array(*(_long(group(g)) for g in (2, 4, 6))), mapped)
+    # the country code ends at the first separator among the first four characters after the plus, else after two digits
+    code = F.regexp_replace(F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{2})", 1), "[^0-9]", "")
+
+    def abroad(d: Column) -> Column:
+        new = F.concat(code, _shifted_digits(F.substring(d, F.length(code) + 1, F.length(d)), key, "abroad"))
+        return F.when(F.length(d).between(8, 15), _bound(new, lambda x: _in_shape(m, x)))
+
+    return F.when(F.rlike(m, F.lit(shape)), _bound(F.array(*(_long(group(g)) for g in (2, 4, 6))), mapped)).otherwise(_bound(F.regexp_replace(m, "[^0-9]", ""), abroad))
 
 
 MAPS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "ip": _ip, "date": _date, "card": _card, "ssn": _ssn, "phone": _phone}
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", secret: str = "plyscope", found: str = "pii") -> DataFrame:
-    """``docs`` with the personal data in its texts replaced by pseudonyms.
+def pseudonymise(docs: DataFrame, secret: str, text: str = "text", found: str = "pii") -> DataFrame:
+    """``docs`` with the personal data in its texts replaced by pseudonyms under the key ``secret``.
 
     Adds the column ``found``: an array of (kind, pseudonym) in the order of
     the text; a column of that name is replaced.  A match that isn't valid
-    (check digit, octets, calendar) stays as it is and isn't listed.  Null
-    texts stay null with an empty array.  All rows and other columns stay.
+    (check digit, octets, calendar, number of digits) stays as it is and
+    isn't listed.  Null texts stay null with an empty array, empty ones
+    empty; texts of any length are taken whole.  All rows, repeated ones
+    too, and other columns stay.
     """
+    if not secret:
+        raise ValueError("pseudonyms need a key that isn't empty")
     body = F.col(text)
+    matches = "matches"
+    while matches in {c.lower() for c in [*docs.columns, found]}:
+        matches += "_"
 
     def one(m: Column) -> Column:
         kind = F.lit(None).cast("string")
@@ -213,9 +280,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", secret: str = "plyscope",
         return F.struct(m.alias("value"), F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, m).alias("pseudonym"))
 
     some = F.rlike(body, F.lit("[0-9@]"))
-    docs = docs.withColumn("__found", F.when(some, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), one)))
+    docs = docs.withColumn(matches, F.when(some, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), one)))
     parts = F.split(body, ANY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.col("__found"), lambda a, b: F.array(a, F.coalesce(b["pseudonym"], F.lit(""))))), "")
-    valid = F.transform(F.filter("__found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
+    whole = F.array_join(F.flatten(F.zip_with(parts, F.col(matches), lambda a, b: F.array(a, F.coalesce(b["pseudonym"], F.lit(""))))), "")
+    valid = F.transform(F.filter(matches, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
     nothing = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    return docs.withColumn(text, F.when(F.size("__found") > 0, whole).otherwise(body)).withColumn(found, F.coalesce(valid, nothing)).drop("__found")
+    return docs.withColumn(text, F.when(F.size(matches) > 0, whole).otherwise(body)).withColumn(found, F.coalesce(valid, nothing)).drop(matches)

@@ -1,7 +1,10 @@
 """Operators on texts one by one: encoding, secrets, quality, pseudonyms, packing."""
 
 import base64
+import calendar
+import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -148,6 +151,58 @@ def test_quality_learns_and_keeps_held_out_labels_apart(spark):
     assert kept.columns == d.columns and 140 <= kept.where("doc_id < 150").count() and kept.where("doc_id between 150 and 299").count() <= 5
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["fine", "words", "and", "more", "x#", "!!", "buy"][(i % 3 == 0) * 3:]) for _ in range(30)) for i in range(200)]
+    d, labels = docs(spark, texts), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)] * 2, "doc_id long, quality int, toxic int")
+    d = d.unionByName(d)  # repeated rows count once
+    scores = lambda n: quality.score(d.coalesce(1), quality.train(d.repartition(n), labels.repartition(n))).collect()
+    assert scores(1) == scores(3) == scores(7)
+    assert quality.score(docs(spark, []), quality.train(docs(spark, []), labels)).count() == 0
+
+
+def test_quality_equals_a_plain_fit(spark, monkeypatch):
+    """Pair by pair in plain loops over rows sorted by the hashes of their ids."""
+    monkeypatch.setattr(quality, "PAIRS", 300)
+    monkeypatch.setattr(quality, "STEPS", 15)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["fine", "words", "and", "more", "x#", "!!", "buy"][(i % 3 == 0) * 3:]) for _ in range(20)) for i in range(120)] + ["long words here " * 60_000]
+    d, labels = docs(spark, texts), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(121)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, quality.train(d, labels)).collect()}
+    order = [r["doc_id"] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x = [quality.features(texts[i]) for i in order]
+    g = [[math.sqrt(c / len(quality.grams(texts[i]))) for c in np.bincount(quality.grams(texts[i]), minlength=quality.GRAMS)] for i in order]
+    y = [int(i % 3 > 0) for i in order]
+    borders = [[float(np.quantile([r[k] for r in x], q)) for q in np.linspace(0, 1, quality.BINS + 1)[1:-1]] for k in range(len(quality.FEATURES))]
+    bins = lambda r: [k * quality.BINS + sum(b <= v for b in borders[k]) for k, v in enumerate(r)]
+    full = [{**{("b", j): 1.0 for j in bins(r)}, **{("g", j): v for j, v in enumerate(gr) if v}} for r, gr in zip(x, g, strict=True)]
+    gen = np.random.default_rng(quality.SEED)
+    a, b = gen.choice([i for i, v in enumerate(y) if v], 300), gen.choice([i for i, v in enumerate(y) if not v], 300)
+    w, v = {}, {}
+    raw = lambda f: sum(w.get(k, 0.0) * z for k, z in f.items())
+    for _ in range(15):
+        s, grad = [raw(f) for f in full], {}
+        for i, j in zip(a, b, strict=True):
+            miss = 1 / (1 + math.exp(s[i] - s[j])) / 300
+            for k, z in full[i].items():
+                grad[k] = grad.get(k, 0.0) - miss * z
+            for k, z in full[j].items():
+                grad[k] = grad.get(k, 0.0) + miss * z
+        for k in {*grad, *w}:
+            calm = 1e-4 if k[0] == "b" else quality.CALM
+            v[k] = 0.9 * v.get(k, 0.0) - 2.0 * (grad.get(k, 0.0) + calm * w.get(k, 0.0))
+        for k, z in v.items():
+            w[k] = w.get(k, 0.0) + z
+    ranked = sorted(zip([raw(f) for f in full], y, strict=True))
+    wrong = [sum(t for _, t in ranked[:k]) + sum(1 - t for _, t in ranked[k:]) for k in range(len(ranked) + 1)]
+    k = wrong.index(min(wrong))
+    cut = (ranked[k - 1][0] + ranked[k][0]) / 2
+    for i, t in enumerate(texts):
+        gr = quality.grams(t)
+        f = {**{("b", j): 1.0 for j in bins(quality.features(t))}, **{("g", j): math.sqrt(c / len(gr)) for j, c in enumerate(np.bincount(gr, minlength=quality.GRAMS)) if c}}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(raw(f) - cut + math.log(0.3 / 0.7)))), abs=1e-4)
+
+
 def test_quality_without_labels(spark):
     d = docs(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -166,7 +221,7 @@ def test_pseudonyms(spark):
         "host 10.20.30.40 not 300.1.1.1, mail jo.Doe7@mail.example.com.",
         "nothing to hide", "", None, "card 4111111111111111",
     ]
-    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts).withColumn("pii", F.lit(1))).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts).withColumn("pii", F.lit(1)).withColumn("matches", F.lit("kept")), "key").collect()}
     kinds = [[x["kind"] for x in rows[i]["pii"]] for i in range(8)]
     assert kinds == [["card"] * 3, ["date"] * 3, ["phone", "phone", "ssn"], ["ip", "email"], [], [], [], ["card"]]
     a, b, c = (x["pseudonym"] for x in rows[0]["pii"])
@@ -179,13 +234,13 @@ def test_pseudonyms(spark):
     assert all(int(x) < 256 for x in rows[3]["pii"][0]["pseudonym"].split(".")) and "300.1.1.1" in rows[3]["text"]
     assert re.fullmatch(r"[a-z]{2}\.[A-Z][a-z]{2}\d@mail\.example\.com", rows[3]["pii"][1]["pseudonym"])
     assert rows[4]["text"] == texts[4] and rows[5]["text"] == "" and rows[6]["text"] is None
-    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, []), "key").count() == 0
 
 
 def test_pseudonyms_are_a_permutation(spark):
     """All dates of some years and all values of a small network: no two share a pseudonym."""
     days = spark.range(0, 73_440, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"), F.col("id").alias("doc_id"))
-    out = pii.pseudonymise(days)
+    out = pii.pseudonymise(days, "key")
     assert out.where(F.size("pii") != 1).count() == 0 and out.select("text").distinct().count() == days.count()
     small = spark.range(0, 12 * 11).select(F.floor(F.col("id") / 11).alias("h"), (F.col("id") % 11).alias("l"))
     halves = pii.permuted(F.col("h"), F.col("l"), "k", "t", F.lit(12), F.lit(11))
@@ -193,7 +248,91 @@ def test_pseudonyms_are_a_permutation(spark):
     assert got == {(a, b) for a in range(12) for b in range(11)}
     cards = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("4"), F.lpad(F.col("id").cast("string"), 14, "0")).alias("p"))
     cards = cards.select("doc_id", F.concat("p", ((10 - pii.luhn(F.concat("p", F.lit("0")))) % 10).cast("string")).alias("text"))
-    assert pii.pseudonymise(cards).select("text").distinct().count() == 500
+    assert pii.pseudonymise(cards, "key").select("text").distinct().count() == 500
+
+
+def feistel(high, low, key, kind, highs, lows):
+    for i in range(pii.ROUNDS):
+        of = low if i % 2 == 0 else high
+        by = int(hashlib.sha256(f"{key}|{kind}|{i}|{of}|{highs}|{lows}".encode()).hexdigest()[:13], 16)
+        high, low = ((high + by) % highs, low) if i % 2 == 0 else (high, (low + by) % lows)
+    return high, low
+
+
+def digits_moved(d, key, kind):
+    n = len(d) // 2
+    m = len(d) - n
+    h, w = feistel(int(d[:m]), int(d[m:]), key, kind, 10**m, 10**n)
+    return f"{h:0{m}d}{w:0{n}d}"
+
+
+def in_shape(text, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in text)
+
+
+def plain_date(text, key):
+    """A date's pseudonym by the calendar of the standard library, or None."""
+    mark = next(c for c in "-/." if c in text)
+    a, b, c = map(int, text.split(mark))
+    short = any(len(x) == 1 for x in text.split(mark)[:2])
+    day = lambda y, m, d: datetime.date(y, m, d) if 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1] else None
+    if mark == "-":
+        at, shown, show = day(a, b, c), lambda d: True, lambda d: f"{d.year:04d}-{d.month:02d}-{d.day:02d}"
+    elif mark == "/" and day(c, a, b):
+        at, shown = day(c, a, b), lambda d: not short or d.month < 10 or d.day < 10
+        show = (lambda d: f"{d.month}/{d.day}/{d.year:04d}") if short else (lambda d: f"{d.month:02d}/{d.day:02d}/{d.year:04d}")
+    elif mark == "/":
+        at, shown = day(c, b, a), lambda d: d.day > 12 and (not short or d.month < 10)
+        show = (lambda d: f"{d.day}/{d.month}/{d.year:04d}") if short else (lambda d: f"{d.day:02d}/{d.month:02d}/{d.year:04d}")
+    else:
+        at, shown = day(c, b, a), lambda d: not short or d.month < 10 or d.day < 10
+        show = (lambda d: f"{d.day}.{d.month}.{d.year:04d}") if short else (lambda d: f"{d.day:02d}.{d.month:02d}.{d.year:04d}")
+    if at is None:
+        return None
+    n = at.toordinal() - 1
+    first, highs, lows = next(x for x in reversed(pii.DOMAINS) if n >= x[0])
+    while True:
+        h, w = feistel((n - first) // lows, (n - first) % lows, key, "date", highs, lows)
+        n = first + h * lows + w
+        if shown(datetime.date.fromordinal(n + 1)):
+            return show(datetime.date.fromordinal(n + 1))
+
+
+def plain_card(text, key):
+    d = re.sub(r"\D", "", text)
+    if not luhn(d):
+        return None
+    body = d[0] + digits_moved(d[1:-1], key, "card")
+    return in_shape(text, body + next(c for c in "0123456789" if luhn(body + c)))
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    """Value by value against the network in plain Python: dates in all readings, cards in all groupings, phones abroad."""
+    rng = random.Random(4)
+    dates = ["31/12/1999", "12/31/1999", "1/2/1999", "25/3/2001", "13/13/1999", "1.5.2020", "01.05.2020", "31.4.2020", "1890-05-01", "2150-01-01", "0001-01-01", "9999-12-31", "1899-12-31", "1900-01-01", "2101-01-26", "2101-01-27", "0000-01-01"]
+    dates += [f"{rng.randint(1, 31):02d}/{rng.randint(1, 12):02d}/{rng.randint(1000, 2999)}" for _ in range(60)] + [f"{rng.randint(1, 12)}/{rng.randint(1, 31)}/{rng.randint(1000, 2999)}" for _ in range(60)]
+    cards = ["3782 822463 10005", "378282246310005", "3056-930902-5904", "4111 1111 1111 1111", "6304 0000 0000 0000 000", "4111 1111 1111 1112"]
+    phones = {"+49 30 1234567": "49", "+49 (30) 123-4567": "49", "+15551234567": "15", "+358.40.1234567": "358"}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, [*dates, *cards, *phones]), "key").collect()}
+    for i, t in enumerate([*dates, *cards, *phones]):
+        if i < len(dates):
+            want, kind = None if t.startswith("0000") else plain_date(t, "key"), "date"
+        elif i < len(dates) + len(cards):
+            want, kind = plain_card(t, "key"), "card"
+        else:
+            d = re.sub(r"\D", "", t)
+            want, kind = in_shape(t, phones[t] + digits_moved(d[len(phones[t]):], "key", "abroad")), "phone"
+        assert got[i]["text"] == (want or t) and [x["kind"] for x in got[i]["pii"]] == [kind] * bool(want), t
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs(spark, []), "")
+
+
+def test_pseudonyms_in_long_and_repeated_texts(spark):
+    long = "x1 " * 200_000 + "31/12/1999 " + "4111111111111111 " * 300
+    rows = pii.pseudonymise(docs(spark, [long, "31/12/1999", "31/12/1999", ""]), "key").orderBy("doc_id").collect()
+    new = rows[1]["text"]
+    assert rows[2]["text"] == new and new in rows[0]["text"] and len(rows[0]["pii"]) == 301 and len(rows[0]["text"]) == len(long)
 
 
 def packed_is_right(rows, texts, encode, window):
