@@ -2,18 +2,21 @@
 
 A vector's components are dealt to a few lists of neighbouring components; a
 candidate's score for a query is the sum of its local scores, one per list.
-
-1. Gather: every block of candidates reports, for each query and list, the
-   candidates with the highest local scores.  The k-th best score among them
-   is a score that k candidates reach: the query's bound.
-2. Cut off: no candidate below ``bound / lists`` in every list can reach the
-   bound.  With that cutoff each block collects the sufficient entries, adds
-   up what is known of each candidate and counts the cutoff for a list that
-   stayed below it; candidates whose sum is below the bound go.
-3. Resolve: the exact scores of those that are left.
-
-Queries meet candidates in a grid of bounded blocks, so no task holds more
-than one block of each.
+A task holds one list of a block of candidates and sees nothing of the others.
+
+1. Gather: every list reports, for each query, its candidates with the
+   highest local scores.  Their scores are resolved exactly; the k-th best is
+   a score that k candidates reach: the query's bound.
+2. Cut off: a candidate below ``bound / lists`` in every list can't reach the
+   bound.  That cutoff is sent to all lists, and each answers with the
+   entries at or above it.  The entries of a candidate are added up, and for
+   a list that didn't report it the cutoff is counted.  Those that can't
+   reach the k-th best of the scores that are whole by now go.
+3. Resolve: the exact scores of those that are left and lack an entry.
+
+Equal vectors have equal scores, so they are searched once: a class of equal
+vectors, for which only its k + 1 smallest ids can matter, as ties go to
+smaller ids.  So neither a common vector nor a common query makes a hot key.
 """
 
 from __future__ import annotations
@@ -32,22 +35,22 @@ from .vectors import block_of, ceil_div, usable
 CANDIDATES, QUERIES = 4096, 512
 
 
-def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each block and vector length: ids and matrix as bytes."""
+def _segments(n: int, lists: int) -> list[slice]:
+    ends = np.linspace(0, n, min(lists, n) + 1).astype(int)
+    return [slice(s, e) for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["v"].to_numpy()).astype("<i8")
-        extra = {k: [pdf[k].iloc[0]] for k in keys}
-        bound = {"bounds": [pdf["bound"].to_numpy("<f8").tobytes()]} if "bound" in pdf else {}
-        return pd.DataFrame(extra | {"n": [m.shape[1]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "m": [m.tobytes()]} | bound)
 
-    kinds = ", ".join(f"{k} int" for k in keys)
-    more = ", bounds binary" if "bound" in rows.columns else ""
-    return rows.withColumn("n", F.size("v")).groupBy(*keys, "n").applyInPandas(lambda pdf: pack(pdf), f"{kinds}, n int, ids binary, m binary{more}")
+def _packed(rows: DataFrame, block: str, lists: int) -> DataFrame:
+    """One row for each block, vector length and list: ids, that list's components, and the bounds, if there are any."""
+    bounded = "bound" in rows.columns
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["v"].to_numpy()).astype("<i8")
+        ids, bound = pdf["id"].to_numpy("<i8").tobytes(), pdf["bound"].to_numpy("<i8").tobytes() if bounded else b""
+        parts = [np.ascontiguousarray(m[:, s]).tobytes() for s in _segments(m.shape[1], lists)]
+        return pd.DataFrame({block: pdf[block].iloc[0], "n": m.shape[1], "l": np.arange(len(parts), dtype=np.int32), "ids": ids, "m": parts, "bounds": bound})
 
-def _matrix(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i8").reshape(-1, n)
+    return rows.withColumn("n", F.size("v")).groupBy(block, "n").applyInPandas(pack, f"{block} int, n int, l int, ids binary, m binary, bounds binary")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,63 +60,42 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _segments(n: int, lists: int) -> list[slice]:
-    ends = np.linspace(0, n, min(lists, n) + 1).astype(int)
-    return [slice(s, e) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+def _local(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries' ids, candidates' ids and their local scores in the list that a task holds."""
+    q, c = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.ids, "<i8")
+    return q, c, products(np.frombuffer(r.qm, "<i8").reshape(len(q), -1), np.frombuffer(r.m, "<i8").reshape(len(c), -1))
 
 
-def _gather(batches: Iterator[pd.DataFrame], k: int, lists: int) -> Iterator[pd.DataFrame]:
-    """Phase 1: the k highest local scores of each list, with their candidates' scores."""
+def _gather(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Phase 1: a list's candidates with the highest local scores, for each query."""
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            q, c = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.ids, "<i8")
-            local = [products(_matrix(r.qm, r.n)[:, s], _matrix(r.m, r.n)[:, s]) for s in _segments(r.n, lists)]
-            same = q[:, None] == c[None]
-            total = sum(local)
-            best = []
-            for x in local:
-                x = np.where(same, np.iinfo(np.int64).min, x)
-                best.append(np.argpartition(x, max(x.shape[1] - k, 0), axis=1)[:, -k:])
-            for i, at in enumerate(np.hstack(best)):
-                at = np.unique(at)
-                at = at[~same[i, at]]
-                if len(at):
-                    yield pd.DataFrame({"qid": q[i], "id": c[at], "score": total[i, at]})
-
-
-def _collect(batches: Iterator[pd.DataFrame], k: int, lists: int) -> Iterator[pd.DataFrame]:
-    """Phase 2: candidates that can still reach their query's bound.
-
-    Of those whose score is known from their entries alone, a block needs
-    only its k best; the others are to be resolved.
-    """
+            q, c, x = _local(r)
+            k = min(most, len(c))
+            at = np.argpartition(x, len(c) - k, axis=1)[:, len(c) - k :]
+            yield pd.DataFrame({"qid": np.repeat(q, k), "l": np.int32(r.l), "id": c[at].ravel(), "local": np.take_along_axis(x, at, 1).ravel()})
+
+
+def _collect(batches: Iterator[pd.DataFrame], lists: int) -> Iterator[pd.DataFrame]:
+    """Phase 2: a list's entries at or above the cutoff."""
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            q, c, bound = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.bounds, "<f8")[:, None]
-            segments = _segments(r.n, lists)
-            cut = np.where(np.isfinite(bound), bound / len(segments), -np.inf)
-            most = np.zeros((len(q), len(c)))
-            known = np.zeros((len(q), len(c)), np.int64)
-            seen = np.zeros((len(q), len(c)), np.int8)
-            for s in segments:
-                x = products(_matrix(r.qm, r.n)[:, s], _matrix(r.m, r.n)[:, s])
-                enough = x >= cut
-                known += np.where(enough, x, 0)
-                seen += enough
-                most += np.where(enough, x, cut)
-            # a relative margin keeps rounding of the bound on the safe side
-            alive = (seen > 0) & (most >= bound - 1e-9 * np.abs(bound) - 1e-6) & (q[:, None] != c[None])
-            for i in np.flatnonzero(alive.any(1)):
-                at = np.flatnonzero(alive[i])
-                full = at[seen[i, at] == len(segments)]
-                full = full[np.lexsort((c[full], -known[i, full]))][:k]
-                part = at[seen[i, at] < len(segments)]
-                yield pd.DataFrame({"qid": q[i], "id": np.concatenate([c[full], c[part]]), "score": pd.array([*known[i, full], *[None] * len(part)], "Int64")})
-
-
-def _best(rows: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            q, c, x = _local(r)
+            cut = -(-np.frombuffer(r.bounds, "<i8") // min(lists, r.n))
+            i, j = np.nonzero(x >= cut[:, None])
+            yield pd.DataFrame({"qid": q[i], "id": c[j], "local": x[i, j]})
+
+
+def _ranked(rows: DataFrame, by: list[str], most: int, score: str = "score") -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), "id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def _classes(rows: DataFrame, most: int) -> DataFrame:
+    """(id, v, rep) of the ``most`` smallest ids of each vector; rep is the smallest."""
+    w = Window.partitionBy("v").orderBy("id")
+    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return few.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).drop("r")
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, lists: int = 2) -> DataFrame:
@@ -124,30 +106,55 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     smaller id; fewer rows where there are fewer candidates.  Vectors that
     are null or empty or hold null or non-finite components, and null keys,
     take no part; rows of another length aren't candidates of a query.  A
-    repeated key counts once, with its smallest vector.  Scores must fit 64
-    bits.
+    repeated key counts once, with its smallest vector.  Scores, and the
+    number of lists times a score, must fit 64 bits.  An empty table gives no
+    rows; other columns aren't read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    whole = usable(vectors.where(queries), key, vector, True)
     ints = lambda df: df.groupBy("id").agg(F.min("v").alias("v")).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    rows, asked = written(ints(usable(vectors, key, vector, True)), "topk-rows"), written(ints(whole), "topk-queries")
-    cblocks, qblocks = ceil_div(rows.count(), CANDIDATES), ceil_div(asked.count(), QUERIES)
-    width = max(cblocks * qblocks, 1)
-    packed = _packed(rows.withColumn("c", block_of("id", cblocks)), ["c"])
-    packed = written(packed, "topk-blocks").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-
-    def grid(asked: DataFrame) -> DataFrame:
-        own = _packed(asked.withColumn("q", block_of("id", qblocks)), ["q"]).withColumnRenamed("ids", "qids").withColumnRenamed("m", "qm")
-        return packed.join(own, ["q", "n"]).repartition(width, "c", "q")
-
-    gathered = grid(asked).mapInPandas(lambda b: _gather(b, k, lists), "qid long, id long, score long")
-    bounds = _best(gathered, k).groupBy("qid").agg(F.max("rank").alias("n"), F.min("score").alias("least"))
-    bounds = bounds.select(F.col("qid").alias("id"), F.when(F.col("n") >= k, F.col("least").cast("double")).alias("bound"))
-    bounded = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    found = written(grid(bounded).mapInPandas(lambda b: _collect(b, k, lists), "qid long, id long, score long"), "topk-entries")
-
-    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    open_ = found.where("score is null").select("qid", "id").join(rows, "id").join(asked.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
-    resolved = found.where("score is not null").unionByName(open_.select("qid", "id", exact.alias("score")))
-    return _best(resolved, k).select(F.col("qid").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias("vec_id"), "score")
+    most = k + 1  # the query's own row may be among them
+    members = written(_classes(ints(usable(vectors, key, vector, True)), most), "topk-rows")
+    rows = members.where("id = rep").select("id", "v")
+    asked = ints(usable(vectors.where(queries), key, vector, True))
+    first = written(asked.groupBy("v").agg(F.min("id").alias("qid")), "topk-queries")
+    asked = written(asked.join(first, "v").select("id", "qid"), "topk-asked")
+    one_each = first.select(F.col("qid").alias("id"), "v")
+    cblocks, qblocks = ceil_div(rows.count(), CANDIDATES), ceil_div(first.count(), QUERIES)
+    width = 2 * cblocks * lists
+    candidates = _packed(rows.withColumn("c", block_of("id", cblocks)), "c", lists).drop("bounds")
+    candidates = written(candidates, "topk-lists").repartition(width, "c", "l")
+
+    def met(questions: DataFrame) -> DataFrame:
+        """Every list of every block of candidates with the same list of every block of queries, dealt by the former."""
+        own = _packed(questions.withColumn("q", block_of("id", qblocks)), "q", lists).withColumnsRenamed({"ids": "qids", "m": "qm"})
+        own = own.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cblocks - 1)))).repartition(width, "c", "l")
+        return candidates.join(own, ["c", "l", "n"]).select("n", "l", "ids", "m", "qids", "qm", "bounds")
+
+    vector_of = lambda ids: ids.join(rows, "id").join(first.select("qid", F.col("v").alias("qv")), "qid")
+    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score")
+
+    gathered = met(one_each).mapInPandas(lambda b: _gather(b, most), "qid long, l int, id long, local long")
+    best = _ranked(gathered, ["qid", "l"], most, "local").select("qid", "id").distinct()
+    bounds = _ranked(vector_of(best).select("qid", "id", exact), ["qid"], most).groupBy("qid").agg(F.max("rank").alias("n"), F.min("score").alias("least"))
+    # with fewer candidates than that in all, every entry counts
+    bounds = bounds.select("qid", F.when(F.col("n") == most, F.col("least")).otherwise(F.lit(-(2**62))).alias("bound"))
+    bounds = written(bounds, "topk-bounds")
+
+    entries = met(one_each.join(bounds.withColumnRenamed("qid", "id"), "id")).mapInPandas(lambda b: _collect(b, lists), "qid long, id long, local long")
+    lengths = first.select("qid", F.least(F.lit(lists), F.size("v")).alias("n")).join(bounds, "qid")
+    added = entries.groupBy("qid", "id").agg(F.sum("local").alias("known"), F.count(F.lit(1)).alias("lists"))
+    added = written(added.join(lengths, "qid"), "topk-entries")
+    whole = added.where("lists = n").select("qid", "id", F.col("known").alias("score"))
+    whole = written(_ranked(whole, ["qid"], most).select("qid", "id", "score", "rank"), "topk-whole")
+    better = whole.where(F.col("rank") == most).select("qid", F.col("score").alias("at_least"))
+    part = added.where("lists < n").join(better, "qid", "left")
+    # what a list didn't report is below the cutoff there
+    reach = F.col("known") * F.col("n") + (F.col("n") - F.col("lists")) * F.col("bound")
+    part = part.where(reach >= F.greatest("bound", F.coalesce("at_least", "bound")) * F.col("n")).select("qid", "id")
+    resolved = whole.select("qid", "id", "score").unionByName(vector_of(part).select("qid", "id", exact))
+
+    found = _ranked(resolved, ["qid"], most).select("qid", F.col("id").alias("rep"), "score")
+    found = _ranked(found.join(members.select("id", "rep"), "rep"), ["qid"], most).select("qid", "id", "score")
+    answers = asked.withColumnRenamed("id", "query_id").join(found, "qid").where("id <> query_id")
+    return _ranked(answers, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

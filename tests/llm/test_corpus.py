@@ -282,3 +282,18 @@ def test_nearest_neighbours(spark, monkeypatch):
         total += 10
     assert hits / total >= 0.95
     assert [c for _, c, _ in sorted(got[110])] == [c for c in range(100, 111) if c != 110]
+
+
+def test_exact_topk_of_equal_vectors(spark):
+    """A third of all rows and of the queries share one vector, others are equal in pairs; ids break the ties."""
+    rng = np.random.default_rng(8)
+    data = [(i, [0.5] * 8 if i % 3 == 0 else rng.normal(size=8).round(1).tolist()) for i in range(240)]
+    data += [(i + 240, list(data[i][1])) for i in range(1, 60, 3)] + [(7, list(data[7][1]))]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    ints = {i: np.floor(256 * np.array(x)).astype(int) for i, x in data}
+    got = {}
+    for r in topk.search(v, F.col("vec_id") % 2 == 0, k=4, lists=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (i for i in ints if i % 2 == 0):
+        want = sorted(((-int(ints[q] @ x), i) for i, x in ints.items() if i != q))[:4]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
