@@ -7,7 +7,8 @@ table look-ups (asymmetric distances); the best go on to exact reranking on
 the original vectors.
 
 Index rows and queries meet in bounded blocks: a long list is cut into
-pieces, pieces are dealt to shards, and queries to blocks.
+pieces, pieces are dealt to shards, and queries to blocks of those with
+neighbouring first lists.  A piece goes only to the blocks that probe its list.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ship, written
-from .vectors import block_of, ceil_div, usable
+from .vectors import ceil_div, usable
 
 #: Rows that the index is fitted on, the first by a hash of their ids.
 SAMPLE = 20_000
-#: Most lists; components in a subspace of the residuals; centroids there.
-LISTS, SUBSPACE, CODES = 1024, 2, 256
+#: Rows of the sample for each list, at least: more lists would have centres that mean nothing.
+ROWS_PER_LIST = 8
+#: Components in a subspace of the residuals; centroids there.
+SUBSPACE, CODES = 2, 256
 #: Share of the sample's own neighbours that the probed lists must hold.
 PROBE_RECALL = 0.97
 #: Candidates of a query that are reranked exactly, and the least its lists must hold.
@@ -86,7 +89,7 @@ class Index:
 def fit(x: np.ndarray, rows: int, k: int) -> Index:
     """Fit on a sample; ``rows`` is how many the index is to hold."""
     rng = np.random.default_rng(SEED)
-    centres = kmeans(x, int(min(LISTS, max(1, round(rows**0.5)))), rng)
+    centres = kmeans(x, max(1, min(len(x) // ROWS_PER_LIST, round(rows**0.5))), rng)
     own = _nearest(x, centres)
     rest = x - centres[own]
     books = [kmeans(rest[:, s : s + SUBSPACE], CODES, rng, 5) for s in range(0, x.shape[1], SUBSPACE)]
@@ -124,7 +127,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id"
     lengths = sample["v"].map(len)
     size = int(lengths.mode().iloc[0])
     rows, asked = rows.where(F.size("v") == size), asked.where(F.size("v") == size)
-    n, n_asked = rows.count(), asked.count()
+    n = rows.count()
     index = fit(np.stack(sample["v"][lengths == size].to_numpy()), n, k)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,10 +137,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id"
                 yield pd.DataFrame({"id": pdf["id"], "list": own.astype(np.int32), "codes": [c.tobytes() for c in codes], "fixed": fixed})
 
     coded = written(rows.mapInPandas(encoded, "id long, list int, codes binary, fixed double"), "ann-index")
-    counts = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # LISTS rows at most
+    counts = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
     held = np.array([counts.get(i, 0) for i in range(len(index.centres))])
     pieces = F.element_at(F.lit([ceil_div(int(c), PIECE) for c in held]), F.col("list") + 1)
-    shards, blocks = ceil_div(n, SHARD), ceil_div(n_asked, BLOCK)
+    shards = ceil_div(n, SHARD)
     shard = F.pmod(F.xxhash64("list", "piece"), F.lit(shards)).cast("int")
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,15 +151,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id"
                 order = np.argsort((index.centres**2).sum(1) - 2 * q @ index.centres.T, axis=1, kind="stable")
                 enough = (np.cumsum(held[order], axis=1) < RERANK + 1).sum(1) + 1
                 pdf["lists"] = [o[: max(index.probes, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)]
-                yield pdf[["id", "v", "lists"]]
-
-    probed = asked.mapInPandas(probing, "id long, v array<double>, lists array<int>").withColumn("block", block_of("id", blocks))
-    # the shards that hold pieces of a list, for each of its pieces
+                pdf["first"] = order[:, 0].astype(np.int32)
+                yield pdf[["id", "v", "lists", "first"]]
+
+    probed = written(asked.mapInPandas(probing, "id long, v array<double>, lists array<int>, first int"), "ann-probes")
+    # blocks of queries: lists in the order of their centres' main direction, short ones together, long ones split
+    firsts = {r["first"]: r["n"] for r in probed.groupBy("first").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
+    main = index.centres - index.centres.mean(0)
+    along = np.argsort(main @ np.linalg.svd(main, full_matrices=False)[2][0], kind="stable")
+    number = np.array([firsts.get(i, 0) for i in range(len(held))])
+    begins = np.empty(len(held), np.int64)
+    begins[along] = (np.cumsum(number[along]) - number[along]) // BLOCK
+    first_block, splits = (F.element_at(F.lit([int(x) for x in y]), F.col("first") + 1) for y in (begins, [ceil_div(int(c), BLOCK) for c in number]))
+    probed = probed.withColumn("block", (first_block + F.pmod(F.xxhash64("id"), splits)).cast("int")).drop("first")
+    # every piece of a list, its shard, and the blocks that probe the list
     of_list = spark.range(len(held)).select(F.col("id").cast("int").alias("list")).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    of_list = of_list.select("list", shard.alias("shard")).distinct()
+    of_list = of_list.select("list", "piece", shard.alias("shard"))
+    wanted = probed.select(F.col("block").alias("to"), F.explode("lists").alias("list")).distinct().join(of_list, "list").select("list", "piece", "to")
     sent = probed.select("id", F.explode("lists").alias("list")).join(of_list, "list").select("id", "shard").distinct()
-    left = coded.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("shard", shard).drop("piece")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = coded.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("shard", shard).join(wanted, ["list", "piece"])
+    left = left.select("id", "list", "codes", "fixed", "shard", F.col("to").alias("block"))
 
     def scan(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
