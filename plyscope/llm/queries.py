@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, jaccard, packing, pii, quality, secrets, suffixes, topk, warc
-from .shared import fresh_path
+from .shared import fresh_path, written
 
 #: The session's setting that holds the key of pseudonyms, and what stands for it where it is unset.
 PSEUDONYM_KEY, EXAMPLE_KEY = "spark.plyscope.pseudonyms.key", "example key"
@@ -44,7 +44,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
-    records = warc.joined_revisits(warc.read(spark, path, payloads=False))
+    records = warc.joined_revisits(written(warc.read(spark, path, payloads=False).drop("payload"), "warc-records"))
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -198,6 +198,10 @@ def test_archives(spark):
     warc.write(warc.resolve(pages.withColumn("payload", F.lit("clash")).withColumn("key", F.lit(0))), path)
     rows = {r["key"]: r for r in warc.joined_revisits(warc.read(spark, path)).collect()}
     assert len(rows) == 10
+    few = fresh_path(spark, "warc")
+    warc.write(warc.resolve(pages), few, records_per_file=2)
+    files = warc.read(spark, few).groupBy(F.input_file_name()).count().collect()
+    assert len(spark.read.format("binaryFile").load(few).select("path").collect()) >= 5 and sum(r["count"] for r in files) == 10
     for i, h in enumerate(html):
         raw, r = (h or "").encode(), rows[9 - i]
         first = min(9 - j for j, x in enumerate(html) if (x or "") == (h or ""))
@@ -213,6 +217,19 @@ def test_archives(spark):
     assert {r["key"] for r in warc.read(spark, some).where("record_type = 'revisit'").collect()} == {5}
 
 
+def test_archives_with_a_common_payload_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    html = ["" if i % 3 == 0 else f"p{i % 20}" for i in range(200)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)] + [(5, "u", html[5]), (65, "u", html[65])], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc")
+    warc.write(warc.resolve(pages), path)
+    got = [(r["key"], r["record_type"], r["refers_to"]) for r in warc.joined_revisits(warc.read(spark, path)).collect()]
+    first = {h: html.index(h) for h in html}
+    want = [(i, "response", None) if first[h] == i else (i, "revisit", first[h]) for i, h in enumerate(html)]
+    assert sorted(got, key=str) == sorted([*want, want[5], want[65]], key=str)
+
+
 def vectors(spark, seed, n=600, size=16):
     rng = np.random.default_rng(seed)
     m = rng.normal(size=(n, size)).astype(np.float32)
