@@ -84,7 +84,7 @@ def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", uri:
     first = written(known.groupBy("sha1").agg(F.min("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-first")
     later = looked_up(known, "sha1", first, total).where("key > refers_to").distinct()
     parts = max(width(spark), -(-(size or 0) // ARCHIVE))
-    keyed = rows.where(F.col("key").isNotNull()).repartition(parts, "key")
+    keyed = rows.where(F.col("key").isNotNull()).repartition(parts, "key", "sha1")
     joined = keyed.join(later, ["key", "sha1"], "left")
     # rows without a key stay where they are: a join would send them to one task
     out = joined.unionByName(rows.where(F.col("key").isNull()).withColumn("refers_to", F.lit(None).cast("long")))
