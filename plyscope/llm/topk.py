@@ -33,6 +33,8 @@ from .vectors import block_of, ceil_div, usable
 
 #: Vectors in a block of candidates and in a block of queries, about.
 CANDIDATES, QUERIES = 4096, 512
+#: Candidates that each list reports for a query in the first phase, k + 1 at least: the more, the closer the bound.
+GATHER = 32
 
 
 def _segments(n: int, lists: int) -> list[slice]:
@@ -134,8 +136,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     vector_of = lambda ids: ids.join(rows, "id").join(first.select("qid", F.col("v").alias("qv")), "qid")
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score")
 
-    gathered = met(one_each).mapInPandas(lambda b: _gather(b, most), "qid long, l int, id long, local long")
-    best = _ranked(gathered, ["qid", "l"], most, "local").select("qid", "id").distinct()
+    gather = max(most, GATHER)
+    gathered = met(one_each).mapInPandas(lambda b: _gather(b, gather), "qid long, l int, id long, local long")
+    best = _ranked(gathered, ["qid", "l"], gather, "local").select("qid", "id").distinct()
     bounds = _ranked(vector_of(best).select("qid", "id", exact), ["qid"], most).groupBy("qid").agg(F.max("rank").alias("n"), F.min("score").alias("least"))
     # with fewer candidates than that in all, every entry counts
     bounds = bounds.select("qid", F.when(F.col("n") == most, F.col("least")).otherwise(F.lit(-(2**62))).alias("bound"))
