@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import counting, exploring, formats, streams
+from .plans import chess, counting, exploring, formats, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **exploring.QUERIES, **formats.QUERIES, **streams.QUERIES}
-SQL: dict[str, str] = {**counting.SQL, **exploring.SQL, **formats.SQL, **streams.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **exploring.QUERIES, **chess.QUERIES, **formats.QUERIES, **streams.QUERIES}
+SQL: dict[str, str] = {**counting.SQL, **exploring.SQL, **chess.SQL, **formats.SQL, **streams.SQL}

@@ -58,6 +58,23 @@ def is_proven(dtm: Column) -> Column:
     return dtm != 0
 
 
+def is_win(dtm: Column) -> Column:
+    return dtm_kind(dtm) == "win"
+
+
+def is_loss(dtm: Column) -> Column:
+    return dtm_kind(dtm) == "loss"
+
+
+def is_draw(dtm: Column) -> Column:
+    return dtm_kind(dtm) == "draw"
+
+
+def is_mated(dtm: Column) -> Column:
+    """Mated now, either side."""
+    return dtm.isin(MATED_WHITE, MATED_BLACK)
+
+
 def has_eval(has_cp: Column, dtm: Column) -> Column:
     """An evaluation is there if centipawns or a distance are; false for a missing record."""
     return F.coalesce(has_cp, F.lit(False)) | (F.coalesce(dtm, F.lit(0)) != 0)

@@ -46,11 +46,11 @@ def described(counts: DataFrame) -> DataFrame:
 def latest_evaluations(*layers: DataFrame) -> DataFrame:
     """Per position the whole evaluation with the highest ``seq`` among those that say anything.
 
-    A mate without centipawns says something too.
+    Of several with the same ``seq`` the greatest counts, column by column.  A mate without centipawns says something too.
     """
     cols = ["pos_key", *EVAL, "seq"]
     rows = reduce(DataFrame.unionByName, (x.select(*cols) for x in layers)).where(has_eval(F.col("has_cp"), F.col("dtm")))
-    return rows.groupBy("pos_key").agg(F.max_by(F.struct(*EVAL, "seq"), F.col("seq")).alias("e")).select("pos_key", "e.*")
+    return rows.groupBy("pos_key").agg(F.max(F.struct("seq", *EVAL)).alias("e")).select("pos_key", *(f"e.{c}" for c in (*EVAL, "seq")))
 
 
 def overlay(counts: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.records import dtm_kind, dtm_shown, share
+from ..functions.records import dtm_distance, dtm_kind, dtm_shown, share
 from .counts import count_column
 
 #: Moves with full statistics, and the most that may be asked for.
@@ -87,3 +87,33 @@ def extreme(positions: DataFrame, bad: int = -300, good: int = 300) -> DataFrame
     """Positions with centipawns at or past a bound and no distance to mate, and which bound."""
     rows = positions.where(F.col("has_cp") & (F.col("dtm") == 0) & ((F.col("cp") <= bad) | (F.col("cp") >= good)))
     return rows.withColumn("winning", F.col("cp") >= good)
+
+
+def proof_order() -> WindowSpec:
+    """Moves as a proof should try them: to lost positions first, the quickest before, then by what the opponent has least of."""
+    lost = dtm_kind(F.coalesce("dtm", F.lit(0))) == "loss"
+    return Window.partitionBy("parent_key").orderBy(lost.desc(), F.when(lost, dtm_distance(F.col("dtm"))), F.when(F.col("has_cp"), F.col("cp")).asc_nulls_last(), "token")
+
+
+def first_moves(lines: DataFrame, by: str, token: str, score: Column, most: int = TOP) -> DataFrame:
+    """Of an engine's lines (by, token) the ``most`` best different first moves, each with its best score."""
+    best = lines.groupBy(by, token).agg(F.max(score).alias("score"))
+    w = Window.partitionBy(by).orderBy(F.col("score").desc_nulls_last(), token)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def with_stubs(top: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Top moves and stubs as one set; what stubs lack is null."""
+    return top.unionByName(stubs, allowMissingColumns=True)
+
+
+def evaluated(positions: DataFrame, depths: DataFrame, results: DataFrame, depth: int) -> DataFrame:
+    """(pos_key, score, depth) for one level: results of the positions there that still need an evaluation."""
+    level = depths.where(F.col("depth") == depth).select("pos_key", "depth")
+    return needing_evaluation(positions).select("pos_key").join(level, "pos_key").join(results.select("pos_key", "score"), "pos_key").select("pos_key", "score", "depth")
+
+
+def missing_children(expanded: DataFrame, stored: DataFrame) -> DataFrame:
+    """Moves (parent_key, token, child_key) to positions that aren't stored, with empty records: what a level lacks."""
+    rows = expanded.where("child_key is not null").join(stored.select(F.col("pos_key").alias("child_key")), "child_key", "left_anti")
+    return rows.select(F.col("child_key").alias("pos_key"), *(F.lit(0).cast("long").alias(c) for c in ("wins", "draws", "losses"))).distinct()

@@ -19,6 +19,13 @@ def lookup(keys: DataFrame, positions: DataFrame) -> DataFrame:
     return rows.select("pos_key", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS), *EVAL, F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def between(positions: DataFrame, low: str | None, high: str | None) -> DataFrame:
+    """Positions with low <= pos_key <= high; None leaves an end open.  Files written in ranges of keys are skipped by their statistics."""
+    k = F.col("pos_key")
+    rows = positions if low is None else positions.where(k >= low)
+    return rows if high is None else rows.where(k <= high)
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs (a_id, b_id) of key ranges (id, low, high), of files rather than rows, that share a key.
 

@@ -37,12 +37,12 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROOT = ".".join("0" for _ in TOKENS)
 #: One common table expression after another; a query takes those up to what it needs.
 _PLIES = f"""
-last AS (SELECT user_id, max_by(event_type, ts) AS last FROM events GROUP BY user_id),
+last AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id),
 r AS (
     SELECT user_id AS game_id, event_type AS token, row_number() OVER w - 1 AS ply,
         CASE last WHEN 'purchase' THEN '1-0' WHEN 'error' THEN '0-1' WHEN 'signup' THEN '1/2-1/2' ELSE '*' END AS result,
         {", ".join(f"count(*) FILTER (event_type = '{t}') OVER w AS n{i}" for i, t in enumerate(TOKENS))}
-    FROM events JOIN last USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    FROM events JOIN last USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 plies AS (
     SELECT game_id, CAST(ply AS INTEGER) AS ply, token,
         concat_ws('.', {", ".join(f"n{i} - CAST(token = '{t}' AS INTEGER)" for i, t in enumerate(TOKENS))}) AS pos_key,

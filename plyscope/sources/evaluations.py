@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import records as R
 from ..functions.text import bounded, key_of
+from ..operators.counts import latest_evaluations
 
 NEW = ("fen", "position", "cp", "dtm", "dtz", "proven_depth")
 SMALL, WORD = (-32_768, 32_767), (0, 65_535)
@@ -57,3 +59,16 @@ def export(positions: DataFrame, path: str, fen: Column | None = None) -> None:
     some = positions.where(F.coalesce("has_cp", F.lit(False)) | (F.coalesce("dtm", F.lit(0)) != 0) | (F.coalesce("dtz", F.lit(0)) != 0))
     rows = some.select((fen if fen is not None else F.lit("")).alias("fen"), F.col("pos_key").alias("position"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cp", "dtm", "dtz")), R.proven_depth(F.coalesce("proven_depth", F.lit(0))).alias("proven_depth"))
     rows.write.option("header", True).option("compression", "gzip").option("emptyValue", "").csv(path)
+
+
+LOG = "pos_key string, cp int, has_cp boolean, dtm int, dtz int, proven_depth int, seq long"
+
+
+def append(rows: DataFrame, log: str) -> None:
+    """Add evaluations to a log; Spark commits a whole append or none of it."""
+    rows.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(LOG))).write.mode("append").parquet(log)
+
+
+def current(spark: SparkSession, log: str) -> DataFrame:
+    """A log's evaluation of each position: the one with the highest ``seq``."""
+    return latest_evaluations(spark.read.schema(LOG).parquet(log))

@@ -7,7 +7,7 @@ is looked at.  Only following the moves of a game needs the rules.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules
 from ..functions.text import rating
+from ..workers import ship
 from .tables import outcome
 
 #: Names of game files, and where a game begins in one (fixed values).
@@ -26,6 +27,17 @@ LEAST_RATING = 2000
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 
 
+def _outside(body: Column) -> Column:
+    """What stands outside of variations, however deep they are nested."""
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = F.when(piece == "(", at["depth"] + 1).when(piece == ")", F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        return F.struct(depth.alias("depth"), F.when((at["depth"] == 0) & ~piece.isin("(", ")"), F.concat(at["out"], F.lit(" "), piece)).otherwise(at["out"]).alias("out"))
+
+    pieces = F.regexp_extract_all(body, F.lit(r"[()]|[^()]+"), F.lit(0))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda at: at["out"])
+
+
 def parse(text: Column) -> list[Column]:
     """Columns of one game's text: tags, result, ratings, moves."""
     tag = r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\s*\]'
@@ -33,8 +45,7 @@ def parse(text: Column) -> list[Column]:
     names, values = F.regexp_extract_all(text, F.lit(tag), F.lit(1)), F.regexp_extract_all(text, F.lit(tag), F.lit(2))
     body = F.regexp_replace(text, tag, " ")
     body = F.regexp_replace(F.regexp_replace(body, r"\{[^}]*\}", " "), r"(?m);.*$", " ")
-    for _ in range(4):  # variations within variations
-        body = F.regexp_replace(body, r"\([^()]*\)", " ")
+    body = _outside(body)
     body = F.regexp_replace(body, r"\d+\.+|\$\d+", " ")
     moves = F.filter(F.split(body, r"\s+"), lambda m: (m != "") & ~m.isin(*RESULTS))
     return [
@@ -94,6 +105,7 @@ def replay(games: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["game_id", "ply", "token", "pos_key", "child_key", "result"])
 
+    ship(games.sparkSession)
     plies = games.select("game_id", "result", "moves").mapInArrow(rows, "game_id long, ply int, token string, pos_key string, child_key string, result string")
     return plies.select("game_id", "ply", "token", "pos_key", "child_key", *outcome(F.col("result"), F.col("ply")))
 
@@ -120,25 +132,87 @@ def expand(positions: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["parent_key", "uci", "token", "child_key"])
 
+    ship(positions.sparkSession)
     return positions.select("pos_key").distinct().mapInArrow(rows, "parent_key string, uci string, token string, child_key string")
 
 
+def key_of_fen(fens: DataFrame, fen: str = "fen") -> DataFrame:
+    """``fens`` with pos_key: the position's key, without counters; null for text that isn't a position."""
+
+    def key(text: str | None) -> str | None:
+        try:
+            return rules.key(rules.from_fen(text or ""))
+        except ValueError:
+            return None
+
+    return _with_key(fens, [fen], key)
+
+
+def applied(moves: DataFrame, position: str = "pos_key", uci: str = "uci") -> DataFrame:
+    """``moves`` with child_key: where a move in UCI notation leads; null if it isn't legal there."""
+
+    def key(fen: str | None, text: str | None) -> str | None:
+        try:
+            p = rules.from_fen(fen or "")
+            return rules.key(rules.apply(p, rules.from_uci(p, text or "")))
+        except ValueError:
+            return None
+
+    return _with_key(moves, [position, uci], key, "child_key")
+
+
 def line_key(lines: DataFrame, moves: str = "moves") -> DataFrame:
     """``lines`` with pos_key: where their moves lead from the start; null if one isn't legal."""
 
+    def key(line: list[str] | None) -> str | None:
+        p = rules.from_fen(rules.START)
+        try:
+            for text in line or []:
+                p = rules.apply(p, rules.from_san(p, text))
+        except ValueError:
+            return None
+        return rules.key(p)
+
+    return _with_key(lines, [moves], key)
+
+
+def paths(lines: DataFrame, name: str, moves: str = "moves") -> DataFrame:
+    """(name, ply, token, pos_key) of every position on the way of each line, the first one (ply 0, no token) too.
+
+    A line with a move that isn't legal has no rows.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys: list[str | None] = []
-            for line in b.column(b.schema.get_field_index(moves)).to_pylist():
-                p: rules.Position | None = rules.from_fen(rules.START)
-                for text in line or []:
-                    try:
+            out: list[tuple] = []
+            source: list[int] = []
+            for i, line in enumerate(b.column(1).to_pylist()):
+                p = rules.from_fen(rules.START)
+                way = [(0, None, rules.key(p))]
+                try:
+                    for ply, text in enumerate(line or [], 1):
                         p = rules.apply(p, rules.from_san(p, text))
-                    except ValueError:
-                        p = None
-                        break
-                keys.append(rules.key(p) if p else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], [*b.schema.names, "pos_key"])
+                        way.append((ply, text, rules.key(p)))
+                except ValueError:
+                    continue
+                out += way
+                source += [i] * len(way)
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [name, "ply", "token", "pos_key"])
+
+    ship(lines.sparkSession)
+    kind = lines.schema[name].dataType.simpleString()
+    return lines.select(name, moves).mapInArrow(rows, f"`{name}` {kind}, ply int, token string, pos_key string")
+
+
+def _with_key(rows: DataFrame, of: list[str], key: Callable[..., str | None], name: str = "pos_key") -> DataFrame:
+    """``rows`` with one more column: ``key`` of the columns ``of``, in its place if there is one of that name."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            args = (b.column(b.schema.get_field_index(c)).to_pylist() for c in of)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([key(*x) for x in zip(*args, strict=True)], pa.string())], [*b.schema.names, name])
 
-    lines = lines.drop("pos_key")
-    return lines.mapInArrow(rows, T.StructType([*lines.schema.fields, T.StructField("pos_key", T.StringType())]))
+    ship(rows.sparkSession)
+    rows = rows.drop(name)
+    return rows.mapInArrow(mapped, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import movetext_tokens
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, pattern: str = "*.tsv") -> DataFrame:
     """(eco, name, moves, file, line) of all .tsv files under ``path``.
 
     A line is code, name and moves, set apart by tabs; a first line that
     begins with ``eco`` and a tab is a header; other lines without three
     parts are skipped.  ``line`` orders the lines of a file.
     """
-    rows = spark.read.option("pathGlobFilter", "*.tsv").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
     parts = F.split("value", "\t", 3)
     rows = rows.where((F.size(parts) == 3) & ~F.startswith("value", F.lit("eco\t")))
     return rows.select(parts[0].alias("eco"), parts[1].alias("name"), movetext_tokens(parts[2]).alias("moves"), "file", "line")

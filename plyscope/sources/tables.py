@@ -1,7 +1,7 @@
 """Games, plies and evaluations from tables of events and orders.
 
 A table of events is a set of games: one per user, a ply per event in order
-of time, the event's type as the move.  A position is what has been played
+of time and id, the event's type as the move.  A position is what has been played
 before a ply: how often each type, and so whose turn it is.  Different
 orders of the same types reach one position.
 """
@@ -34,8 +34,8 @@ def plies(events: DataFrame) -> DataFrame:
     The position is the one before the ply, so a game's last position isn't
     counted; a position that recurs counts at each visit.
     """
-    w = Window.partitionBy("user_id").orderBy("ts")
-    all_ = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = [F.sum(F.when(F.col("event_type") == t, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"n{i}") for i, t in enumerate(TOKENS)]
     rows = events.select("user_id", "event_type", (F.row_number().over(w) - 1).alias("ply"), result_of(F.last("event_type").over(all_)).alias("result"), *ahead)
     after = [F.col(f"n{i}").cast("string") for i in range(len(TOKENS))]
