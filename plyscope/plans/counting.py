@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import counts as C
+from ..operators import explore as X
+from ..operators.lookup import between
+from ..sources.evaluations import changed, exported
 from ..sources.tables import evaluations, order_plies
 from .base import COUNTS, DISTANCE, EVALS, KIND, PLIES, POSITIONS, counts, evals, event_plies, positions, table
 
@@ -67,18 +70,15 @@ def flt_04_extreme(spark: SparkSession, d: str) -> DataFrame:
 
 def flt_05_any_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """What an export has: every position that says something about its value."""
-    p = positions(spark, d).where(F.coalesce("has_cp", F.lit(False)) | (F.coalesce("dtm", F.lit(0)) != 0) | (F.coalesce("dtz", F.lit(0)) != 0))
+    p = exported(positions(spark, d))
     return p.select("pos_key", F.coalesce("cp", F.lit(0)).alias("cp"), "dtm", "dtz", R.proven_depth(F.col("proven_depth")).alias("proven_depth"))
 
 
 def flt_06_changed_evaluations(spark: SparkSession, d: str) -> DataFrame:
-    """Imported rows that differ from what is stored; a missing position is left out."""
-    stored = evals(spark, d)
-    incoming = evaluations(counts(spark, d), 1).select("pos_key", *(F.col(c).alias(f"new_{c}") for c in ("cp", "dtm", "dtz")))
-    same = F.lit(True)
-    for c in ("cp", "dtm", "dtz"):
-        same = same & F.col(f"new_{c}").eqNullSafe(F.col(c) - (F.col("cp") % 2 if c == "cp" else 0))
-    return incoming.join(stored, "pos_key").where(~same).select("pos_key", "new_cp", "new_dtm", "new_dtz")
+    """Imported rows that differ from what is stored, where odd centipawns are one less; a missing position is left out."""
+    stored = evals(spark, d).withColumn("cp", F.col("cp") - F.col("cp") % 2)
+    rows = changed(evaluations(counts(spark, d), 1), stored)
+    return rows.select("pos_key", *(F.col(c).alias(f"new_{c}") for c in ("cp", "dtm", "dtz")))
 
 
 def jon_15_import(spark: SparkSession, d: str) -> DataFrame:
@@ -116,14 +116,14 @@ def agg_12_store_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_17_deepest(spark: SparkSession, d: str) -> DataFrame:
-    """Of a user's purchases as searches, the score of the deepest: value by event id."""
+    """Of a user's events as searches, the score of the deepest: value by event id."""
     from ..operators.graph import by_depth
 
     return by_depth(table(spark, d, "events"), "user_id", F.col("value"), F.col("event_id"))
 
 
 def set_03_replaced(spark: SparkSession, d: str) -> DataFrame:
-    """An index after a compaction: old files out, new ones in."""
+    """Games and their numbers of positions, every third game replaced by one row for all of these."""
     p = event_plies(spark, d)
     files = p.groupBy(F.col("game_id").alias("file")).agg(F.count_distinct("pos_key").alias("n"))
     gone = files.where("file % 3 = 0").select("file")
@@ -131,16 +131,36 @@ def set_03_replaced(spark: SparkSession, d: str) -> DataFrame:
     return files.join(gone, "file", "left_anti").unionByName(new)
 
 
+def prj_08_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every position as a client sees it, with its status."""
+    return positions(spark, d).select("pos_key", *X.node_columns(), _status().alias("status"))
+
+
+def flt_10_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """What a stored distance says, one yes or no each; some positions are mated now."""
+    dtm = F.when(F.col("wins") == 3, R.encode_mated(F.col("draws") == 0)).otherwise(F.coalesce("dtm", F.lit(0)))
+    p = positions(spark, d).select("pos_key", dtm.alias("dtm"))
+    return p.select("pos_key", *(f(F.col("dtm")).alias(n) for n, f in (("proven", R.is_proven), ("win", R.is_win), ("loss", R.is_loss), ("draw", R.is_draw), ("mated", R.is_mated))))
+
+
+def flt_11_range(spark: SparkSession, d: str) -> DataFrame:
+    """Positions with a key in a range."""
+    return between(positions(spark, d), "1", "2.3").select("pos_key", *C.COUNTERS)
+
+
+def _status() -> Column:
+    status = F.when(F.col("dtm") != 0, F.lit("proven")).when(F.col("has_cp"), F.lit("evaluated"))
+    return F.coalesce(status, F.lit("pending"))
+
+
 def prj_08_response(spark: SparkSession, d: str) -> DataFrame:
     """Positions as a client sees them, by status."""
-    p = positions(spark, d)
-    status = F.when(F.col("dtm") != 0, F.lit("proven")).when(F.col("has_cp"), F.lit("evaluated")).otherwise(F.lit("pending"))
-    return p.groupBy(F.coalesce(status, F.lit("pending")).alias("status")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast("long").alias(c) for c in C.COUNTERS))
+    return positions(spark, d).groupBy(_status().alias("status")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast("long").alias(c) for c in C.COUNTERS))
 
 
 QUERIES = {f.__name__: f for f in (
-    position_counts, prj_01_plies, prj_02_results, prj_03_evaluations, prj_08_response, agg_02_merge, agg_03_latest, agg_08_evaluation_counts, agg_10_level_totals, agg_12_store_stats, agg_17_deepest, agg_18_game_counters,
-    jon_03_overlay, jon_15_import, flt_01_rated_orders, flt_03_needs_evaluation, flt_04_extreme, flt_05_any_evaluation, flt_06_changed_evaluations, set_03_replaced,
+    position_counts, prj_01_plies, prj_02_results, prj_03_evaluations, prj_08_response, prj_08_responses, agg_02_merge, agg_03_latest, agg_08_evaluation_counts, agg_10_level_totals, agg_12_store_stats, agg_17_deepest, agg_18_game_counters,
+    jon_03_overlay, jon_15_import, flt_01_rated_orders, flt_03_needs_evaluation, flt_04_extreme, flt_05_any_evaluation, flt_06_changed_evaluations, flt_10_predicates, flt_11_range, set_03_replaced,
 )}
 
 _ORDER_PLIES = """
@@ -162,6 +182,12 @@ SQL = {
     "prj_02_results": _ORDER_PLIES.format(least=0) + f" s AS (SELECT ply, {_SUMS} FROM p GROUP BY ply) SELECT *, {_PCT.format('wins')} AS win_pct, {_PCT.format('draws')} AS draw_pct FROM s",
     "prj_03_evaluations": POSITIONS + f" SELECT pos_key, has_eval, {KIND.format('dtm')} AS kind, {DISTANCE.format('dtm')} AS distance, CAST(CASE {KIND.format('dtm')} WHEN 'win' THEN 1 WHEN 'loss' THEN -1 ELSE 0 END * {DISTANCE.format('dtm')} AS INTEGER) AS shown FROM positions",
     "prj_08_response": POSITIONS + f" SELECT CASE WHEN dtm <> 0 THEN 'proven' WHEN has_cp THEN 'evaluated' ELSE 'pending' END AS status, count(*) AS n, {_SUMS} FROM positions GROUP BY 1",
+    "prj_08_responses": POSITIONS + f""" SELECT pos_key, wins + draws + losses AS count, {_PCT.format("wins")} AS win_pct, {_PCT.format("draws")} AS draw_pct, CASE WHEN has_cp THEN cp END AS cp, {KIND.format("dtm")} AS mate_kind,
+        CAST(CASE {KIND.format("dtm")} WHEN 'win' THEN 1 WHEN 'loss' THEN -1 ELSE 0 END * {DISTANCE.format("dtm")} AS INTEGER) AS dtm, CASE WHEN dtm <> 0 THEN 'proven' WHEN has_cp THEN 'evaluated' ELSE 'pending' END AS status FROM positions""",
+    "flt_10_predicates": POSITIONS + """
+        , p AS (SELECT pos_key, CASE WHEN wins = 3 THEN CASE WHEN draws = 0 THEN 32767 ELSE 32766 END ELSE coalesce(dtm, 0) END AS x FROM positions)
+        SELECT pos_key, x <> 0 AS proven, x BETWEEN 1 AND 16384 AS win, x BETWEEN -16384 AND -1 OR x >= 32766 AS loss, x BETWEEN -32768 AND -16385 AS draw, x >= 32766 AS mated FROM p""",
+    "flt_11_range": POSITIONS + " SELECT pos_key, wins, draws, losses FROM positions WHERE pos_key BETWEEN '1' AND '2.3'",
     "agg_02_merge": PLIES + f" SELECT pos_key, CAST(sum(wins * k) AS BIGINT) AS wins, CAST(sum(draws * k) AS BIGINT) AS draws, CAST(sum(losses * k) AS BIGINT) AS losses FROM (SELECT *, CASE WHEN game_id % 2 = 0 THEN 2 ELSE 1 END AS k FROM plies) GROUP BY pos_key",
     "agg_03_latest": EVALS + " SELECT * FROM evals",
     "agg_08_evaluation_counts": EVALS + " SELECT count(*) AS total, count(*) FILTER (has_cp) AS with_cp, count(*) FILTER (dtm <> 0) AS with_dtm, count(*) FILTER (dtz <> 0) AS with_dtz FROM evals",

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import moves as M
 from ..operators import explore as X
 from ..operators import graph as G
 from ..operators import lookup as K
+from ..storage import written
 from .base import DISTANCE, GRAPH, KIND, PLIES, POSITIONS, ROOT, counts, event_plies, graph, positions, table
 
 
@@ -173,6 +175,40 @@ def str_07_work_items(spark: SparkSession, d: str) -> DataFrame:
     return browse.unionByName(refute).unionByName(rest).groupBy("pos_key").agg(F.min("priority").alias("priority"))
 
 
+def srt_05_proof_order(spark: SparkSession, d: str) -> DataFrame:
+    """Moves in the order in which a proof would try them."""
+    return X.ranked(moves(spark, d), X.proof_order()).select("parent_key", "token", "child_key", "rank")
+
+
+def srt_10_first_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Of a user's events as an engine's lines the three best different first moves."""
+    return X.first_moves(table(spark, d, "events"), "user_id", "event_type", F.col("value"))
+
+
+def set_04_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The two best moves with statistics and the others' stubs without, as one set."""
+    m = X.ranked(moves(spark, d), X.server_order(white()))
+    top = m.where("rank <= 2").select("parent_key", "token", "child_key", "wins", "draws", "losses", "cp")
+    return X.with_stubs(top, m.where("rank > 2").select("parent_key", "token", "child_key"))
+
+
+def grf_11_level(spark: SparkSession, d: str) -> DataFrame:
+    """Results for the positions of one level that lack an evaluation."""
+    p = written(positions(spark, d), "positions")
+    results = p.select("pos_key", (F.col("wins") * 3 - F.col("losses")).alias("score"))
+    depths = event_plies(spark, d).groupBy("pos_key").agg(F.min("ply").alias("depth"))
+    return X.evaluated(p, depths, results, 3)
+
+
+def fn_31_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Drops on a board matched against the moves that are known there, the plain move and a queen first; others are rejected."""
+    k = F.col("p_partkey").cast("int")
+    known = table(spark, d, "part").select((k % 20).alias("board"), M.to_uci(M.pack(k % 64, (k * 7) % 64, k % 5)).alias("uci"))
+    drops = table(spark, d, "supplier").select(F.col("s_suppkey").alias("drop_id"), (F.col("s_suppkey") % 20).cast("int").alias("board"), M.to_uci(M.pack((F.col("s_suppkey") % 64).cast("int"), (F.col("s_suppkey") * 7 % 64).cast("int"), F.lit(0))).alias("dropped"))
+    both = drops.join(known.distinct().withColumn("dropped", F.substring("uci", 1, 4)), ["board", "dropped"])
+    return both.groupBy("drop_id").agg(F.min_by("uci", M.promotion_rank(F.col("uci"))).alias("uci"))
+
+
 def api_01_tree(spark: SparkSession, d: str) -> DataFrame:
     """The tree of one path's position: its moves in order with names."""
     path = roots(spark).select(F.col("pos_key").alias("parent_key"))
@@ -188,7 +224,7 @@ def api_02_position(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     srt_01_server_order, srt_02_top_moves, srt_03_client_order, srt_04_page, srt_08_batch, jon_01_lookup, jon_04_children, jon_06_openings, jon_07_stored_children, jon_08_missing_children, jon_09_overlapping_files,
-    jon_10_rightmost_file, jon_16_filled, prj_05_nodes, prj_09_last_opening, prj_12_move_rows, grf_04_reachable, grf_05_extreme_by_depth, grf_06_beam, grf_07_proof, agg_15_minimax_round, str_07_work_items, api_01_tree, api_02_position,
+    jon_10_rightmost_file, jon_16_filled, prj_05_nodes, prj_09_last_opening, prj_12_move_rows, grf_04_reachable, grf_05_extreme_by_depth, grf_06_beam, grf_07_proof, agg_15_minimax_round, str_07_work_items, srt_05_proof_order, srt_10_first_moves, set_04_moves, grf_11_level, fn_31_matched, api_01_tree, api_02_position,
 )}
 
 _SERVER = "row_number() OVER (PARTITION BY parent_key ORDER BY has_eval DESC, CASE WHEN has_eval THEN sign * coalesce(cp, 0) END DESC NULLS LAST, CASE WHEN NOT has_eval THEN count END DESC NULLS LAST, token)"
@@ -286,6 +322,23 @@ SQL = {
             SELECT pos_key, CASE WHEN wins > 0 THEN 1 ELSE 3 END AS priority FROM positions WHERE NOT coalesce(has_cp, false) AND coalesce(dtm, 0) = 0
             UNION ALL SELECT pos_key, 2 FROM positions WHERE has_cp AND dtm = 0 AND (cp <= -300 OR cp >= 300))
         GROUP BY pos_key""",
+    "srt_05_proof_order": GRAPH + f"""
+        SELECT parent_key, token, child_key, CAST(row_number() OVER (PARTITION BY parent_key ORDER BY {KIND.format("coalesce(dtm, 0)")} = 'loss' DESC, CASE WHEN {KIND.format("coalesce(dtm, 0)")} = 'loss' THEN {DISTANCE.format("dtm")} END NULLS FIRST,
+            CASE WHEN has_cp THEN cp END NULLS LAST, token) AS INTEGER) AS rank FROM moves""",
+    "srt_10_first_moves": """
+        WITH b AS (SELECT user_id, event_type, max(value) AS score FROM events GROUP BY 1, 2)
+        SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, event_type) AS INTEGER) AS rank FROM b QUALIFY rank <= 3""",
+    "set_04_moves": GRAPH + f"""
+        , k AS (SELECT *, {_SERVER} AS rank FROM moves)
+        SELECT parent_key, token, child_key, {", ".join(f"CASE WHEN rank <= 2 THEN {c} END AS {c}" for c in ("wins", "draws", "losses", "cp"))} FROM k""",
+    "grf_11_level": POSITIONS + """
+        , l AS (SELECT pos_key, min(ply) AS depth FROM plies GROUP BY 1)
+        SELECT pos_key, wins * 3 - losses AS score, depth FROM positions JOIN l USING (pos_key) WHERE depth = 3 AND NOT coalesce(has_cp, false) AND coalesce(dtm, 0) = 0""",
+    "fn_31_matched": """
+        WITH u AS (SELECT p_partkey % 20 AS board, p_partkey % 64 AS s, p_partkey * 7 % 64 AS t, p_partkey % 5 AS p FROM part),
+        d AS (SELECT s_suppkey AS drop_id, s_suppkey % 20 AS board, s_suppkey % 64 AS s, s_suppkey * 7 % 64 AS t FROM supplier)
+        SELECT drop_id, chr(CAST(97 + d.s % 8 AS INTEGER)) || (d.s // 8 + 1) || chr(CAST(97 + d.t % 8 AS INTEGER)) || (d.t // 8 + 1) || ['', 'q', 'r', 'b', 'n'][min(p) + 1] AS uci
+        FROM d JOIN u USING (board, s, t) GROUP BY drop_id, d.s, d.t""",
     "api_01_tree": GRAPH + _TOP.format(3) + f" WHERE parent_key = '{ROOT}'",
     "api_02_position": POSITIONS + f" SELECT pos_key, {_NODE} FROM positions WHERE wins + draws + losses > 0",
 }

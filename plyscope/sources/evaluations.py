@@ -54,10 +54,14 @@ def changed(incoming: DataFrame, stored: DataFrame, create_missing: bool = False
     return rows.select(*incoming.columns)
 
 
+def exported(positions: DataFrame) -> DataFrame:
+    """Positions that say something about their value: centipawns, a distance to mate or to a reset."""
+    return positions.where(F.coalesce("has_cp", F.lit(False)) | (F.coalesce("dtm", F.lit(0)) != 0) | (F.coalesce("dtz", F.lit(0)) != 0))
+
+
 def export(positions: DataFrame, path: str, fen: Column | None = None) -> None:
-    """Write every position that says something about its value as gzip-compressed CSV with NEW's columns."""
-    some = positions.where(F.coalesce("has_cp", F.lit(False)) | (F.coalesce("dtm", F.lit(0)) != 0) | (F.coalesce("dtz", F.lit(0)) != 0))
-    rows = some.select((fen if fen is not None else F.lit("")).alias("fen"), F.col("pos_key").alias("position"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cp", "dtm", "dtz")), R.proven_depth(F.coalesce("proven_depth", F.lit(0))).alias("proven_depth"))
+    """Write what exported() keeps as gzip-compressed CSV with NEW's columns."""
+    rows = exported(positions).select((fen if fen is not None else F.lit("")).alias("fen"), F.col("pos_key").alias("position"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cp", "dtm", "dtz")), R.proven_depth(F.coalesce("proven_depth", F.lit(0))).alias("proven_depth"))
     rows.write.option("header", True).option("compression", "gzip").option("emptyValue", "").csv(path)
 
 
