@@ -143,3 +143,26 @@ def test_evaluations_are_imported_and_exported(spark, tmp_path):
     E.export(C.overlay(spark.createDataFrame([("A" * 52, 1, 2, 3)], "pos_key string, wins long, draws long, losses long"), C.latest_evaluations(rows.where("pos_key is not null"))), out)
     back = {r["pos_key"]: (r["cp"], r["dtm"]) for r in E.read(spark, out).collect()}
     assert back[key.hex().upper()] == (35, 0) and len(back) == 2
+
+
+def test_variations_of_any_depth(spark):
+    deep = "1. e4 " + "(1. d4 " * 12 + "d5" + ")" * 12 + " e5 {a ) in a comment} 2. Nf3 (2. f4 exf4) (2. Nc3) Nc6 *"
+    row = spark.createDataFrame([(deep,), ("1. e4 ) e5 (",)], "t string").select(*games.parse(F.col("t"))).collect()
+    assert row[0]["moves"] == ["e4", "e5", "Nf3", "Nc6"] and row[1]["moves"] == ["e4", "e5"]
+
+
+def test_positions_that_are_not_are_left_out(spark):
+    rows = spark.createDataFrame([("8/8/8/8/8/8/8/8 w - -",), ("4k3/8/8/8/8/8/8/4K3 w X -",), (None,), ("7k/5Q2/6K1/8/8/8/8/8 b - -",)], "pos_key string")
+    assert [tuple(r) for r in games.expand(rows).collect()] == [("7k/5Q2/6K1/8/8/8/8/8 b - -", None, "stalemate", None)]
+    keys = games.key_of_fen(rows.withColumnRenamed("pos_key", "fen")).collect()
+    assert [r["pos_key"] is None for r in keys] == [True, True, True, False]
+
+
+def test_files_are_archived_once_done(spark, tmp_path):
+    """A stream's finished game files move to the archive."""
+    for n in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"g{n}.pgn").write_text(f'[Event "{n}"]\n[Result "1-0"]\n\n1. e4 e5 1-0\n')
+        q = games.stream(spark, str(tmp_path / "in"), archive=str(tmp_path / "done")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and any((tmp_path / "done").rglob("*.pgn"))
