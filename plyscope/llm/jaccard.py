@@ -9,7 +9,9 @@ Texts with equal sets are one class.  The classes under an n-gram aren't
 paired off: one of them, the most central, is compared with the others; once
 components are known from that, n-grams whose classes all lie in one
 component are done, and the next round takes another centre for the rest.
-What is still open after ROUNDS rounds is paired off exactly.
+Of what is still open after ROUNDS rounds, the classes under an n-gram of FEW are
+paired off.  Under others they are dealt to cells of two bounded blocks each; a
+cell compares its sets with one another and gives only links.
 
 A comparison puts the sets that face one class into a prefix tree: their
 ordered n-grams, sorted, so that neighbours share their beginnings.  The
@@ -34,10 +36,10 @@ from .shared import ship, written
 
 #: Counters of the sketch and the blocks that they are added up in: 4 MB in all, however large the corpus.
 SKETCH, BLOCKS = 1 << 20, 64
-#: Rounds of comparing with centres, and members of one prefix tree, about.
-ROUNDS, MEMBERS = 3, 128
-#: Sets that a Python worker holds at once.
-PATHS = 64
+#: Rounds of comparing with centres, members of one prefix tree, about, and classes that are paired off at most.
+ROUNDS, MEMBERS, FEW = 3, 128, 32
+#: Sets that a Python worker holds at once, and n-grams of a block in a cell, about.
+PATHS, CELL = 64, 1 << 19
 #: Bits of the filter for texts that pairs need: 4 MB.
 BITS = 1 << 25
 #: Hashes of words that a Python worker keeps.
@@ -99,7 +101,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, cells, many = np.zeros(SKETCH, np.uint32), [], 0
         for b in batches:
-            cls, size = [], []
+            cls, size, key_type = [], [], b.column(0).type
             for t in b.column(1):
                 g = grams(t.as_py(), n)
                 cells.append(_cell(g))
@@ -115,11 +117,10 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
             sketch += np.bincount(np.concatenate(cells), minlength=SKETCH).astype(np.uint32)
         if sketch.any():
             blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
-            none = [pa.nulls(BLOCKS, docs_type), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64())]
+            none = [pa.nulls(BLOCKS, key_type), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
     names = ["key", "cls", "size", "block", "counts"]
-    docs_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return docs.mapInArrow(rows, f"key {kind}, cls long, size long, block int, counts binary")
 
 
@@ -204,32 +205,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (gram[-1], cls[-1])
 
 
+class Walk:
+    """A walk through a prefix tree, whose paths come in sorted order, with one set that they are compared with.
+
+    ``sums[d]`` is the overlap of the current path's first d n-grams with the
+    set; ``known`` of them hold.
+    """
+
+    def __init__(self, own: np.ndarray, share: int) -> None:
+        self.own, self.share = np.sort(own), share
+        self.path, self.sums, self.known = np.zeros(0, ">u8"), np.zeros(1, np.int64), 0
+
+    def similar(self, new: np.ndarray) -> bool:
+        """Go on to the next path: what it shares with the last one isn't compared again, and what can't be enough is left."""
+        m = min(len(new), len(self.path))
+        differ = np.flatnonzero(new[:m] != self.path[:m])
+        known = min(int(differ[0]) if len(differ) else m, self.known)
+        own, sums = self.own, np.concatenate([self.sums[: known + 1], np.zeros(len(new) - known, np.int64)])
+        need = needed(len(own), len(new), self.share)
+        while known < len(new) and sums[known] + min(len(new) - known, len(own) - sums[known]) >= need:
+            step = new[known : known + 64]
+            at = np.minimum(np.searchsorted(own, step), len(own) - 1)
+            sums[known + 1 : known + 1 + len(step)] = sums[known] + np.cumsum(own[at] == step)
+            known += len(step)
+        self.path, self.sums, self.known = new, sums, known
+        return known == len(new) and bool(sums[known] >= need)
+
+
 def _trees(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     """Walk the prefix tree of each centre's members, in sorted order.
 
     Rows come sorted by (centre, salt, member?, path); a centre's own row
-    stands first.  ``sums[d]`` is the overlap of the current path's first d
-    n-grams with the centre; ``known`` of them hold.
+    stands first.
     """
-    centre, own, path, sums, known = None, None, None, None, 0
+    centre, walk = None, None
     a, b_ = [], []
     for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
-        for c, member, cls, size, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+        for c, member, cls, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5)), strict=True):
             new = np.frombuffer(raw, ">u8")
             if not member:
-                centre, own, path, sums, known = c, np.sort(new), np.zeros(0, ">u8"), np.zeros(1, np.int64), 0
-                continue
-            m = min(len(new), len(path))
-            differ = np.flatnonzero(new[:m] != path[:m])
-            common = min(int(differ[0]) if len(differ) else m, known)
-            path, sums, known = new, np.concatenate([sums[: common + 1], np.zeros(len(new) - common, np.int64)]), common
-            need = needed(len(own), size, share)
-            while known < len(new) and sums[known] + min(len(new) - known, len(own) - sums[known]) >= need:
-                step = new[known : known + 64]
-                at = np.minimum(np.searchsorted(own, step), len(own) - 1)
-                sums[known + 1 : known + 1 + len(step)] = sums[known] + np.cumsum(own[at] == step)
-                known += len(step)
-            if known == len(new) and sums[known] >= need:
+                centre, walk = c, Walk(new, share)
+            elif walk.similar(new):
                 a.append(centre)
                 b_.append(cls)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
@@ -258,14 +274,36 @@ def meet(at: Column, n: Column, at2: Column, m: Column, share: int) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
     """Of pairs (a, b) of classes those that are similar.
 
-    A tree is a centre and about MEMBERS classes that face it.  Texts travel
-    compressed, as they are smaller than their sets, and only those that the
-    pairs need, but for the few that share a bit with one of these.
+    A tree is a centre and about MEMBERS classes that face it.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("trees"))
     members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("cls"))
     centres = many.select("a", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("cls"))
-    placed = written(members.unionByName(centres).join(classes.withColumnRenamed("rep", "key"), "cls"), "gram-trees")
+    trees = _with_texts(members.unionByName(centres), classes, docs).repartition("a", "salt")
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
+            sets = [_path(t.as_py(), c, n, sketch) for t, c in zip(b.column("text"), b.column("cls").to_pylist(), strict=True)]
+            b = b.drop_columns(["text"]).append_column("size", pa.array([0 if x is None else len(x) for x in sets], pa.int32())).append_column("path", pa.array([None if x is None else x.tobytes() for x in sets], pa.binary()))
+            yield b.filter(b.column("path").is_valid())
+
+    sets = trees.mapInArrow(paths, "a long, salt int, member int, cls long, size int, path binary")
+    return sets.sortWithinPartitions("a", "salt", "member", "path").mapInArrow(lambda b: _trees(b, share), "a long, b long").distinct()
+
+
+def _path(text: bytes, cls: int, n: int, sketch) -> np.ndarray | None:
+    """A compressed text's set from frequent to rare; None for a text that isn't of the class, as rows with equal keys may not be."""
+    g = grams(zstandard.decompress(text).decode(), n)
+    return ordered(g, sketch.value)[0][::-1].astype(">u8") if len(g) and class_of(g) == cls else None
+
+
+def _with_texts(placed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``placed``, which has a column cls, with the compressed text of each class.
+
+    Texts travel compressed, as they are smaller than their sets, and only
+    those that are needed, but for the few that share a bit with one of these.
+    """
+    placed = written(placed.join(classes.withColumnRenamed("rep", "key"), "cls"), "gram-trees")
     bits = _bits(placed)
 
     def needed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +312,49 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, sha
             b = b.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["key", "text"])
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(k, PATHS) for x in batches for k in range(0, x.num_rows, PATHS)):
-            found = [grams(zstandard.decompress(t.as_py()).decode(), n) for t in b.column("text")]
-            mine = [len(g) > 0 and class_of(g) == c for g, c in zip(found, b.column("cls").to_pylist(), strict=True)]  # rows that share the key have other texts
-            sets = [ordered(g, sketch.value)[0][::-1].astype(">u8").tobytes() for g in found]
-            b = b.drop_columns(["text"]).append_column("size", pa.array([len(g) for g in found], pa.int32())).append_column("path", pa.array(sets, pa.binary()))
-            yield b.filter(pa.array(mine, pa.bool_()))
-
     kind = docs.schema[0].dataType.simpleString()
     texts = docs.where("key is not null").withColumn("bit", _bit()).mapInArrow(needed_texts, f"key {kind}, text binary")
-    trees = placed.join(texts, "key").select("a", "salt", "member", "cls", "text").repartition("a", "salt")
-    sets = trees.mapInArrow(paths, "a long, salt int, member int, cls long, size int, path binary")
-    return sets.sortWithinPartitions("a", "salt", "member", "path").mapInArrow(lambda b: _trees(b, share), "a long, b long").distinct()
+    return placed.join(texts, "key").select(*(c for c in placed.columns if c not in ("key", "cls")), "cls", "text")
+
+
+def _in_pairs(open_: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of classes under one n-gram of FEW that may be similar through it."""
+    right = open_.select("gram", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "label", "at")))
+    near = meet(F.col("at"), F.col("size"), F.col("at2"), F.col("size2"), share)
+    return open_.join(right, "gram").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & near).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+
+
+def _in_cells(open_: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
+    """Links (a, b) among all classes under one n-gram: (gram, cls, size, label, at).
+
+    The classes of an n-gram are dealt to blocks, and every two blocks, or
+    one with itself, are a cell; there each class walks the tree of the
+    others that it may be similar to.
+    """
+    sizes = open_.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / CELL)).cast("int").alias("blocks"))
+    rows = open_.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "size", "label", "at")
+
+    def compared(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        paths = [_path(x.as_py(), c, n, sketch) for x, c in zip(t.column("text"), t.column("cls").to_pylist(), strict=True)]
+        right = [i for i, p in enumerate(paths) if p is not None]
+        by = sorted(right, key=lambda i: paths[i].tobytes())
+        block, cls, size, label, at = (t.column(c).to_numpy()[by].astype(np.int64) for c in ("block", "cls", "size", "label", "at"))
+        paths = [paths[i] for i in by]
+        one = t.column("low")[0] == t.column("high")[0]
+        a, b = [], []
+        for i, own in enumerate(paths):
+            need = -(-share * (size[i] + size) // (100 + share))
+            may = (label != label[i]) & (cls > cls[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * share) & (at[i] <= size[i] - need) & (at <= size - need)
+            may &= one | (block != block[i])
+            walk = Walk(own, share)
+            found = [k for k in np.flatnonzero(may).tolist() if walk.similar(paths[k])]
+            a += [int(cls[i])] * len(found)
+            b += cls[found].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _with_texts(rows, classes, docs).groupBy("gram", "low", "high").applyInArrow(compared, "a long, b long").distinct()
 
 
 def _bit() -> Column:
@@ -340,16 +408,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
             pairs = open_.where((F.col("label") != F.col("hub.label")) & near).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
             open_ = open_.drop("hub")
         else:
-            left = met.drop("hub")
-            right = left.select("gram", *(F.col(c).alias(f"{c}2") for c in ("cls", "size", "label", "at")))
-            near = meet(F.col("at"), F.col("size"), F.col("at2"), F.col("size2"), share)
-            pairs = left.join(right, "gram").where((F.col("cls") < F.col("cls2")) & (F.col("label") != F.col("label2")) & near).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+            open_ = written(met.drop("hub", "weight").join(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("many")), "gram"), "gram-open")
+            pairs = _in_pairs(open_.where(F.col("many") <= FEW), share)
+        found = None
         pairs = written(pairs.distinct(), "gram-pairs")
-        if not pairs.limit(1).count():
+        if pairs.limit(1).count():
+            found = written(_verified(pairs, classes, docs, n, share, sketch), "gram-links")
+        if turn == ROUNDS and open_.where(F.col("many") > FEW).limit(1).count():
+            more = written(_in_cells(open_.where(F.col("many") > FEW), classes, docs, n, share, sketch), "gram-links")
+            found = more if found is None else found.unionByName(more)
+        if found is None:
             if turn == ROUNDS or not open_.limit(1).count():
                 break
             continue
-        found = written(_verified(pairs, classes, docs, n, share, sketch), "gram-links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     known = classes.withColumn("lowest", F.col("rep"))

@@ -77,12 +77,32 @@ def test_hubs_that_miss_members_lose_no_link(spark, monkeypatch):
     """Chains of copies: no centre is similar to all, so later rounds and the exact last one must find the rest."""
     base = [f"t{i}" for i in range(60)]
     rows = [(k, " ".join(base[k * 3 : k * 3 + 40])) for k in range(7)] + [(20 + k, " ".join([*base[:40], f"x{k}"])) for k in range(5)]
-    for rounds in (0, 1, 3):
+    for rounds, few, members in ((0, 32, 128), (0, 0, 3), (1, 0, 128), (1, 2, 2), (3, 32, 128)):
         monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "FEW", few)
+        monkeypatch.setattr(jaccard, "MEMBERS", members)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, rows), n=2, share=80).collect()}
         assert got == brute_components(rows, 2, 80)
 
 
+def test_many_unlike_texts_under_one_gram(spark, monkeypatch):
+    """Texts that all share a line and little else, and some near copies among them."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "FEW", 5)
+    monkeypatch.setattr(jaccard, "MEMBERS", 20)
+    rows = [(i, f"a b c d e x{i // 2 % 45}" + " y" * (i % 2)) for i in range(90)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, rows), n=2, share=70).collect()}
+    assert got == brute_components(rows, 2, 70)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,0)", "string", "date"])
+def test_similar_texts_with_other_keys(spark, kind):
+    key = F.expr("date_add(date'2020-01-01', int(doc_id))") if kind == "date" else F.col("doc_id").cast(kind)
+    d = docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words in this text")]).withColumn("doc_id", key)
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.join(d).collect()}
+    assert len(rows) == 3 and sorted(rows.values())[:2] == [min(rows)] * 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300 + i) for i in range(50)]
