@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SETTLED, codec, default_vocabulary
+from .bpe import SETTLED, WORDS, codec, default_vocabulary
 from .shared import ship, written
 
 WINDOW, DEPTH, STEPS = 1024, 3, 300
@@ -42,7 +42,7 @@ def _encoder(path: str):
 
     c = codec(path)
     ranks = {b: i for i, b in enumerate(c.bytes_of) if b.decode("utf-8", "replace") not in c.special}
-    e = tiktoken.Encoding("byte-level", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    e = tiktoken.Encoding("byte-level", pat_str=WORDS.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if UNSETTLED.search(text) or BLANKS.search(text) or any(s in text for s in c.special):

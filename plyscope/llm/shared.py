@@ -1,44 +1,13 @@
-"""What the operators share: written tables in the cluster's shared folder."""
+"""What the operators share: tables in the cluster's shared folder, widths, and Python workers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from .. import workers
+from ..storage import fresh_path, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    ``spark.checkpoint.dir`` decides.  Only where it is unset (tests, a
-    single machine) a temporary folder is made and set for this session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plyscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage at a table that outlives lost executors, and lets
-    several later steps read one result without computing it again.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ROWS_AT_ONCE", "fresh_path", "ship", "width", "written"]
 
 
 def width(spark: SparkSession) -> int:
@@ -51,15 +20,8 @@ ROWS_AT_ONCE = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepare Python workers: small batches, and this package from the driver's checkout.
-
-    A session that sets its own batches keeps them.  A cluster that receives
-    the package by ``--py-files`` doesn't need the latter.
-    """
+    """Prepare Python workers: small batches, unless the session sets its own, and this package."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch) == "10000":
         spark.conf.set(batch, ROWS_AT_ONCE)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    workers.ship(spark)

@@ -449,6 +449,9 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     As dedupe_digests(); where a removed stretch cuts a character, what is
     left of that character goes too.  Null stays null.
     """
+    if taken := [c for c in docs.columns if c.lower() == "__chunk"]:
+        free = "__chunk_" + "_" * max(map(len, docs.columns))
+        return dedupe(docs.withColumnRenamed(taken[0], free), key, text).withColumnRenamed(free, taken[0])
     d, hits = _plan(docs, key, text)
 
     def apply(t: pa.Table, h: pa.Table) -> pa.Table:

@@ -82,3 +82,42 @@ def test_pipeline_stages(spark, tables):
     kept = P.STAGES[0][1](spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
     assert kept.columns == columns and kept.count() <= before
     assert {"doc_id", "sequence_id", "ids"} <= set(P.run(spark, tables).columns)
+
+
+def odd_documents(spark, d, n_rows):
+    """A folder with documents (null and empty texts, repeated rows, a very long text, clashing columns) and labels of some of them."""
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(60_000)) + " password=Zx9pQ4mN7tR2vB8w"
+    rows = [(1, None), (2, ""), (3, "some good words that make a text. " * 3), (3, "some good words that make a text. " * 3), (4, long), (5, long), (None, "no key but words"), (6, "token: Zx9pQ4mN7tR2vB8wKq")][:n_rows]
+    extra = (F.lit(1).alias("__chunk"), F.lit("c").alias("matches"), F.lit("d").alias("score"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select("*", *extra)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 7)] * bool(n_rows), "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return docs
+
+
+@pytest.mark.parametrize("n_rows", [0, 8])
+def test_stages_take_odd_tables(spark, tmp_path, n_rows):
+    """Each stage alone and all of them: columns stay, and only what a stage decides goes."""
+    import corpus_pipeline
+
+    docs = odd_documents(spark, str(tmp_path), n_rows)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+        left[name] = out.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= n_rows // 4
+    if n_rows:
+        assert left["quality"] == 8 and left["near_duplicates"] == 7 and left["passages"] == left["secrets"] == 8 and left["packing"] >= 8
+    else:
+        assert set(left.values()) == {0}
+
+
+def test_pipeline_does_not_depend_on_partitions(spark, tables, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tables}/{t}.parquet").repartition(5).write.parquet(f"{tmp_path}/{t}.parquet")
+    pieces = lambda d: sorted(tuple(r)[:3] for r in corpus_pipeline.run(spark, d).groupBy("doc_id").agg(F.max("doc_tokens"), F.sum("length")).collect())
+    assert pieces(tables) == pieces(str(tmp_path))
