@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver
 or run() writes it as Parquet and reads it again as the next one's docs.
+Every stage takes nulls in any column, empty and very long texts, repeated
+rows and tables without rows; columns beside those of documents stay.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ from plyscope.llm.shared import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels that aren't held out."""
+    """Documents that the classifier rejects go; it learns from the labels that aren't held out.
+
+    Null and empty texts are scored like others.  Without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
@@ -24,7 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similar five-word shingles connect, the one with the smallest id stays.
 
-    Documents are told by their ids; those without one stay.
+    Documents are told by their ids; those without one stay, and so do null
+    and empty texts, and all rows of an id that stays.
     """
     groups = jaccard.join(docs)
     own = F.max(F.col("doc_id") == F.col("component_id")).alias("own")
@@ -33,17 +39,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has are cut out."""
+    """Passages that a document with a smaller id has are cut out.
+
+    All rows stay; null texts stay null, and rows without an id or with
+    equal ids lose nothing to each other.
+    """
     return _measured(suffixes.dedupe(docs))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; the documents stay."""
+    """Secrets are masked; the documents stay, null and empty texts as they are."""
     return _measured(secrets.mask(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: pieces of documents with their ids and places."""
+    """Training sequences: pieces of documents with their ids and places.
+
+    Null and empty texts are a closing token each; repeated rows are packed each.
+    """
     return packing.pack(docs, with_ids=True)
 
 
