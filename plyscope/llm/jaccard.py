@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ship, written
+from .shared import looked_up, ship, written
 
 #: Counters of the sketch and the blocks that they are added up in: 4 MB in all, however large the corpus.
 SKETCH, BLOCKS = 1 << 20, 64
@@ -325,14 +325,14 @@ def _in_pairs(open_: DataFrame, share: int) -> DataFrame:
 
 
 def _in_cells(open_: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
-    """Links (a, b) among all classes under one n-gram: (gram, cls, size, label, at).
+    """Links (a, b) among all classes under one n-gram: (gram, cls, size, label, at, and how many there are and n-grams in all).
 
     The classes of an n-gram are dealt to blocks, and every two blocks, or
     one with itself, are a cell; there each class walks the tree of the
     others that it may be similar to.
     """
-    sizes = open_.groupBy("gram").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / CELL)).cast("int").alias("blocks"))
-    rows = open_.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.greatest(F.ceil(F.col("many") / MEMBERS), F.ceil(F.col("all") / CELL)).cast("int")
+    rows = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "size", "label", "at")
 
     def compared(t: pa.Table) -> pa.Table:
@@ -390,16 +390,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
     classes = written(rows.where("cls is not null and key is not null").groupBy("cls").agg(F.min("key").alias("rep")), "gram-classes")
     posted = _postings(docs.where("key is not null"), n, share, sketch)
     posted = written(posted.repartition("gram").sortWithinPartitions("gram", "cls").mapInArrow(_shared, posted.schema), "gram-postings")
-    edges, labels, open_ = None, None, posted
+    edges, labels, open_, total = None, None, posted, posted.count()
     for turn in range(ROUNDS + 1):
         if labels is not None:
             open_ = open_.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         else:
             open_ = open_.withColumn("label", F.col("cls"))
-        stats = open_.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max(F.struct("weight", "cls", "size", "label", "at")).alias("hub")).where("low < high")
+        stats = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max(F.struct("weight", "cls", "size", "label", "at")).alias("hub")).where("low < high")
         # a posting past where even the smallest possible partner needs it serves no pair
         smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * share / 100))
-        met = open_.join(stats.select("gram", "least", "hub"), "gram").where(F.col("at") <= F.col("size") - _needed(F.col("size"), smallest, share)).drop("least")
+        stats = written(stats.select("gram", "n", "least", "hub"), "gram-stats")
+        met = looked_up(open_, "gram", stats, total).where(F.col("at") <= F.col("size") - _needed(F.col("size"), smallest, share)).drop("least")
         if turn == 0:
             met = written(met, "gram-met")
         if turn < ROUNDS:
@@ -408,7 +409,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
             pairs = open_.where((F.col("label") != F.col("hub.label")) & near).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
             open_ = open_.drop("hub")
         else:
-            open_ = written(met.drop("hub", "weight").join(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("many")), "gram"), "gram-open")
+            open_ = written(met.drop("hub", "weight"), "gram-open")
+            sizes = written(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).withColumn("many", F.col("n")), "gram-sizes")
+            open_ = written(looked_up(open_, "gram", sizes, total), "gram-open")
             pairs = _in_pairs(open_.where(F.col("many") <= FEW), share)
         found = None
         pairs = written(pairs.distinct(), "gram-pairs")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import workers
 from ..storage import fresh_path, written
 
-__all__ = ["ROWS_AT_ONCE", "fresh_path", "ship", "width", "written"]
+__all__ = ["ROWS_AT_ONCE", "fresh_path", "looked_up", "ship", "width", "written"]
+
+#: Keys that more than this many rows name, and more than one in HOT_SHARE of all, are looked up in a broadcast table: of HOT_SHARE rows at most.
+HOT, HOT_SHARE = 1000, 10_000
 
 
 def width(spark: SparkSession) -> int:
@@ -25,3 +29,12 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get(batch) == "10000":
         spark.conf.set(batch, ROWS_AT_ONCE)
     workers.ship(spark)
+
+
+def looked_up(rows: DataFrame, by: str, table: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (by, n, ...), which says how many rows name an entry; what many name is broadcast."""
+    hot = F.col("n") > max(HOT, total // HOT_SHARE)
+    many = table.where(hot).drop("n")
+    common = rows.join(F.broadcast(many), by)
+    rest = rows.join(F.broadcast(many.select(by)), by, "left_anti").join(table.where(~hot).drop("n"), by)
+    return common.unionByName(rest)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship, width, written
+from .shared import looked_up, ship, width, written
 
 #: The alphabet of base 32 (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -29,8 +29,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BEGIN, BETWEEN = "WARC/1.1\r\n", "\r\n\r\n"
 #: Bytes of payload in an archive, about.
 ARCHIVE = 128 << 20
-#: Digests and responses that more than this many records, and more than one in HOT_SHARE of them, name are looked up in a broadcast table: HOT_SHARE rows at most.
-HOT, HOT_SHARE = 10_000, 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -54,15 +52,6 @@ def base32(sha1: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def looked_up(rows: DataFrame, by: str, table: DataFrame, total: int) -> DataFrame:
-    """``rows`` joined with ``table`` (by, n, ...), which says how many rows name an entry; what many name is broadcast."""
-    hot = F.col("n") > max(HOT, total // HOT_SHARE)
-    many = table.where(hot).drop("n")
-    common = rows.join(F.broadcast(many), by)
-    rest = rows.join(F.broadcast(many.select(by)), by, "left_anti").join(table.where(~hot).drop("n"), by)
-    return common.unionByName(rest)
-
-
 def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", uri: str = "url", least_bytes: int = 0) -> DataFrame:
     """Decide which records are responses and which revisit an earlier one.
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from plyscope.llm import ann, components, jaccard, suffixes, topk, warc
+from plyscope.llm import ann, components, jaccard, shared, suffixes, topk, warc
 from plyscope.llm.shared import fresh_path
 from pyspark.sql import functions as F
 
@@ -87,6 +87,8 @@ def test_hubs_that_miss_members_lose_no_link(spark, monkeypatch):
 
 def test_many_unlike_texts_under_one_gram(spark, monkeypatch):
     """Texts that all share a line and little else, and some near copies among them."""
+    monkeypatch.setattr(shared, "HOT", 10)
+    monkeypatch.setattr(shared, "HOT_SHARE", 100)
     monkeypatch.setattr(jaccard, "ROUNDS", 1)
     monkeypatch.setattr(jaccard, "FEW", 5)
     monkeypatch.setattr(jaccard, "MEMBERS", 20)
@@ -238,8 +240,8 @@ def test_archives(spark):
 
 
 def test_archives_with_a_common_payload_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(warc, "HOT", 5)
-    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    monkeypatch.setattr(shared, "HOT", 5)
+    monkeypatch.setattr(shared, "HOT_SHARE", 10)
     html = ["" if i % 3 == 0 else f"p{i % 20}" for i in range(200)]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)] + [(5, "u", html[5]), (65, "u", html[65])], "page_id long, url string, html string")
     path = fresh_path(spark, "warc")
