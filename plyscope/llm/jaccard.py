@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import looked_up, ship, written
+from .shared import looked_up, ship, word_hashes, written
 
 #: Counters of the sketch and the blocks that they are added up in: 4 MB in all, however large the corpus.
 SKETCH, BLOCKS = 1 << 20, 64
@@ -42,22 +42,9 @@ ROUNDS, MEMBERS, FEW = 3, 128, 32
 PATHS, CELL = 64, 1 << 19
 #: Bits of the filter for texts that pairs need: 4 MB.
 BITS = 1 << 25
-#: Hashes of words that a Python worker keeps.
-WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
 def grams(text: str | None, n: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-word shingles of a text.
 
@@ -67,9 +54,7 @@ def grams(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > WORDS:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(words)
     size = min(n, len(w))
     h = np.full(len(w) - size + 1, np.uint64(size), np.uint64)
     for i in range(size):

@@ -20,12 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship
+from .shared import ship, word_hashes
 
 #: Scores of at least this are predicted to be good.
 THRESHOLD = 0.3
@@ -34,8 +33,6 @@ SAMPLE = 20_000
 PAIRS, BINS, STEPS, SEED = 60_000, 12, 400, 7
 #: Cells for hashed words and pairs of words, and how strongly their weights are drawn to 0.
 GRAMS, CALM = 256, 1e-3
-#: Hashes of words that a Python worker keeps.
-WORDS = 200_000
 
 FEATURES = (
     "bytes", "words", "word_bytes", "upper", "digit", "stop", "comma", "exclaim", "bar", "junk", "quote", "other", "line_words",
@@ -70,23 +67,10 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-class WordHashes(dict):
-    """32-bit hashes of words, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
-        return h
-
-
-_hashes = WordHashes()
-
-
 def grams(text: str | None) -> np.ndarray:
     """Cell of every word and every pair of neighbouring words of a text, in lower case."""
     words = (text or "").encode().lower().split()
-    if len(_hashes) > WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     both = np.concatenate([h * np.uint64(0xBF58476D1CE4E5B9), pairs * np.uint64(0xBF58476D1CE4E5B9)])
     return (both >> np.uint64(54)).astype(np.int64) % GRAMS

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import workers
 from ..storage import fresh_path, written
 
-__all__ = ["ROWS_AT_ONCE", "fresh_path", "looked_up", "ship", "width", "written"]
+__all__ = ["ROWS_AT_ONCE", "fresh_path", "looked_up", "ship", "width", "word_hashes", "written"]
 
 #: Keys that more than this many rows name, and more than one in HOT_SHARE of all, are looked up in a broadcast table: of HOT_SHARE rows at most.
 HOT, HOT_SHARE = 1000, 10_000
 
 
+#: Hashes of words that a Python worker keeps.
+WORDS = 100_000
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, computed when first asked for; one table for all operators of a worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    if len(_hashes) > WORDS:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
