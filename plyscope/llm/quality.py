@@ -153,18 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     k = F.col("key")
     some = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & k.isNotNull() & ~held_out(k))
     some = some.distinct().orderBy(F.xxhash64(k), k, "label").limit(SAMPLE)
-    # a text's hash first, so that of equal keys one text is looked at, whatever the partitions
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(some), "key")
-    once = rows.groupBy("key", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
-    schema = T.StructType([once.schema["key"], once.schema["label"], T.StructField("x", T.BinaryType()), T.StructField("g", T.BinaryType())])
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(some), "key").select("key", "label", F.xxhash64("text").alias("hash"), "text")
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("x", T.BinaryType()), T.StructField("g", T.BinaryType())])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            cells = [shares(grams(t)).astype("<f4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([np.array(features(t), "<f8").tobytes() for t in texts], pa.binary()), pa.array(cells, pa.binary())], schema.names)
-
-    found = once.mapInArrow(mapped, schema).orderBy(F.xxhash64("key"), "key", "label").toArrow()  # SAMPLE rows of some 1,300 bytes at most
+            x, g = [], []
+            for t in b.column(3):
+                text = t.as_py()
+                x.append(np.array(features(text), "<f8").tobytes())
+                g.append(shares(grams(text)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(x, pa.binary()), pa.array(g, pa.binary())], schema.names)
+
+    once = rows.mapInArrow(mapped, schema).groupBy("key", "label").agg(F.min(F.struct("hash", "x", "g")).alias("of")).select("key", "label", "of.x", "of.g")
+    found = once.orderBy(F.xxhash64("key"), "key", "label").toArrow()  # SAMPLE rows of some 1,300 bytes at most
     x = np.frombuffer(b"".join(b.as_py() for b in found.column("x")), "<f8").reshape(-1, len(FEATURES))
     g = np.frombuffer(b"".join(b.as_py() for b in found.column("g")), "<f4").reshape(-1, GRAMS).astype(float)
     return fit(x, g, found.column("label").to_numpy())

@@ -43,7 +43,9 @@ def width(spark: SparkSession) -> int:
 
 
 #: Rows that a Python worker gets at once: texts are long, and Spark's 10,000 of them are too much for its memory.
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 1000
+#: Settings that make a Python worker give memory back that it has freed, unless the session has its own.
+GIVE_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,6 +53,9 @@ def ship(spark: SparkSession) -> None:
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch) == "10000":
         spark.conf.set(batch, ROWS_AT_ONCE)
+    env = spark.sparkContext.environment
+    for name, value in GIVE_BACK.items():
+        env.setdefault(name, value)
     workers.ship(spark)
 
 
