@@ -40,6 +40,8 @@ SKETCH, BLOCKS = 1 << 20, 64
 ROUNDS, MEMBERS, FEW = 3, 128, 32
 #: Sets that a Python worker holds at once, and n-grams of a block in a cell, about.
 PATHS, CELL = 64, 1 << 19
+#: Postings of an n-gram that go to one task, about: those of more common ones are dealt to several.
+POSTINGS = 512
 #: Bits of the filter for texts that pairs need: 4 MB.
 BITS = 1 << 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -138,7 +140,11 @@ def ordered(g: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
-    """The first n-grams of each class: (gram, cls, size, at, weight); one row per gram, class and task at least."""
+    """The first n-grams of each class: (gram, cls, size, at, weight, salt); one row per gram, class and task at least.
+
+    Where the sketch, which never counts too low, has more than POSTINGS of
+    an n-gram, the salt deals its classes to several tasks; else it is 0.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, done = sketch.value, set()
@@ -151,7 +157,9 @@ def _postings(docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
                 done.add(c)
                 g, counts = ordered(g, order)
                 first = len(g) + share * len(g) // -100 + 1
-                held.append((g[:first].view(np.int64), c, len(g), int(1e4 * np.log1p(counts.astype(float)).mean())))
+                parts = (counts[:first].astype(np.int64) + POSTINGS - 1) // POSTINGS
+                salt = np.where(parts > 1, 1 + (c & (1 << 62) - 1) % np.maximum(parts, 1), 0).astype(np.int32)
+                held.append((g[:first].view(np.int64), c, len(g), int(1e4 * np.log1p(counts.astype(float)).mean()), salt))
                 if len(held) == 1000:
                     yield batch(held)
                     held = []
@@ -162,13 +170,14 @@ def _postings(docs: DataFrame, n: int, share: int, sketch) -> DataFrame:
         many = lambda i, t: pa.array(np.repeat(np.array([x[i] for x in held], t), k))
         gram = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.int64)
         at = np.concatenate([np.arange(x, dtype=np.int32) for x in k]) if held else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(gram), many(1, np.int64), many(2, np.int32), pa.array(at), many(3, np.int32)], ["gram", "cls", "size", "at", "weight"])
+        salt = np.concatenate([x[4] for x in held]) if held else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(gram), many(1, np.int64), many(2, np.int32), pa.array(at), many(3, np.int32), pa.array(salt)], ["gram", "cls", "size", "at", "weight", "salt"])
 
-    return docs.mapInArrow(rows, "gram long, cls long, size int, at int, weight int")
+    return docs.mapInArrow(rows, "gram long, cls long, size int, at int, weight int, salt int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by gram and class: each once, and only of grams with several classes."""
+    """Of postings sorted by gram and class: each once, and only of grams with several classes or dealt to several tasks."""
     last: tuple | None = None  # gram and class of the last row
     waiting: pa.RecordBatch | None = None  # that row, if it is the only one of its gram so far
     for b in batches:
@@ -185,8 +194,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_next = np.concatenate([gram[1:] == gram[:-1], [False]])
         if waiting is not None and as_before[0]:
             yield waiting
-        yield b.filter(pa.array(as_before | as_next))
-        waiting = None if as_before[-1] else b.slice(len(at) - 1, 1)
+        dealt = b.column(5).to_numpy() > 0
+        yield b.filter(pa.array(as_before | as_next | dealt))
+        waiting = None if as_before[-1] or dealt[-1] else b.slice(len(at) - 1, 1)
         last = (gram[-1], cls[-1])
 
 
@@ -374,7 +384,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
     rows = described.where("block is null").select("key", "cls", "size")
     classes = written(rows.where("cls is not null and key is not null").groupBy("cls").agg(F.min("key").alias("rep")), "gram-classes")
     posted = _postings(docs.where("key is not null"), n, share, sketch)
-    posted = written(posted.repartition("gram").sortWithinPartitions("gram", "cls").mapInArrow(_shared, posted.schema), "gram-postings")
+    posted = posted.repartition("gram", "salt").sortWithinPartitions("gram", "cls").mapInArrow(_shared, posted.schema)
+    posted = written(posted.drop("salt"), "gram-postings")
     edges, labels, open_, total = None, None, posted, posted.count()
     for turn in range(ROUNDS + 1):
         if labels is not None:

@@ -81,6 +81,7 @@ def test_hubs_that_miss_members_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "ROUNDS", rounds)
         monkeypatch.setattr(jaccard, "FEW", few)
         monkeypatch.setattr(jaccard, "MEMBERS", members)
+        monkeypatch.setattr(jaccard, "POSTINGS", rounds + 1)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, rows), n=2, share=80).collect()}
         assert got == brute_components(rows, 2, 80)
 
