@@ -26,14 +26,6 @@ def between(positions: DataFrame, low: str | None, high: str | None) -> DataFram
     return rows if high is None else rows.where(k <= high)
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (a_id, b_id) of key ranges (id, low, high), of files rather than rows, that share a key.
-
-    """
-    x, y = (t.select(F.col("id").alias(f"{n}_id"), F.col("low").alias(f"{n}_low"), F.col("high").alias(f"{n}_high")) for t, n in ((a, "a"), (b, "b")))
-    return x.join(y, (F.col("a_low") <= F.col("b_high")) & (F.col("a_high") >= F.col("b_low"))).select("a_id", "b_id")
-
-
 def _numbered(keys: DataFrame, key: str) -> DataFrame:
     """Distinct keys with their place n in the order of all: ranges of keys are numbered apart and moved on by what lies before."""
     parts = written(keys.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id()), "keys")
@@ -62,6 +54,34 @@ def _blocks(n: Column, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.concat_ws(":", level, F.call_function("shiftright", n.cast("long"), level)))
 
 
+def _placed(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Ranges (id, low, high) with their ends numbered in one order (id, low_n, high_n), and the levels of dyadic blocks over these."""
+    keys = a.select(F.col("low").alias("key")).unionByName(a.select(F.col("high").alias("key"))).unionByName(b.select(F.col("low").alias("key"))).unionByName(b.select(F.col("high").alias("key")))
+    place = written(_numbered(keys, "key"), "places")
+
+    def by_place(t: DataFrame) -> DataFrame:
+        for end in ("low", "high"):
+            t = t.join(place.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n")), end)
+        return written(t.where("low_n <= high_n").select("id", "low_n", "high_n"), "ranges")
+
+    return by_place(a), by_place(b), place.count().bit_length()
+
+
+def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (a_id, b_id) of key ranges (id, low, high) that share a key, each once.
+
+    As overlaps(), whose joins on equal blocks give the pairs themselves.  A
+    range with a null end or low above high shares nothing.
+    """
+    x, y, levels = _placed(a, b)
+    low, high = F.col("low_n"), F.col("high_n")
+
+    def met(asks: Column, told: Column) -> DataFrame:
+        return x.select(F.col("id").alias("a_id"), F.explode(asks).alias("block")).join(y.select(F.col("id").alias("b_id"), F.explode(told).alias("block")), "block").select("a_id", "b_id")
+
+    return met(_cover(low, high, levels), _blocks(low, levels)).unionByName(met(_blocks(low, levels), _cover(low + 1, high, levels)))
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each range of ``a`` (id, low, high) that shares a key with any of ``b``: a_id, how many (files), the smallest of their ids (first).
 
@@ -71,16 +91,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     counts and minima; ranges are never paired.  The few large blocks, which
     most ranges ask for, are broadcast.
     """
-    keys = a.select(F.col("low").alias("key")).unionByName(a.select(F.col("high").alias("key"))).unionByName(b.select(F.col("low").alias("key"))).unionByName(b.select(F.col("high").alias("key")))
-    place = written(_numbered(keys, "key"), "places")
-
-    def by_place(t: DataFrame) -> DataFrame:
-        for end in ("low", "high"):
-            t = t.join(place.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n")), end)
-        return written(t.where("low_n <= high_n").select("id", "low_n", "high_n"), "ranges")
-
-    x, y = by_place(a), by_place(b)
-    levels = place.count().bit_length()
+    x, y, levels = _placed(a, b)
     low, high = F.col("low_n"), F.col("high_n")
 
     def held(asks: Column, told: Column) -> DataFrame:
@@ -95,12 +106,23 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def rightmost(keys: DataFrame, ranges: DataFrame, by: str) -> DataFrame:
-    """For each key the range (id, low) with the greatest low that isn't above it, among those with the same ``by``.
+    """For each key the range (id, low) with the greatest low that isn't above it, among those with the same ``by``; of equal lows the greatest id.
 
-    Keys and lows are put in one order per ``by`` and the last low is carried
-    forward: an as-of join without comparing pairs.
+    An as-of join without comparing pairs.  Keys and lows are dealt to tasks
+    in ranges of one order by ``by``, place and id, so a group may span many.  The
+    last low is carried forward within a task, and for each group from task
+    to task: of these there is one row per group and task.  Repeated keys are
+    kept; null keys and lows come first in a group.
     """
     both = keys.select(by, F.col("pos_key").alias("at"), F.lit(1).alias("is_key"), F.lit(None).cast(ranges.schema["id"].dataType).alias("id"))
     both = both.unionByName(ranges.select(by, F.col("low").alias("at"), F.lit(0).alias("is_key"), "id"))
-    w = Window.partitionBy(by).orderBy("at", "is_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("id", F.last("id", ignorenulls=True).over(w)).where("is_key = 1").select(by, F.col("at").alias("pos_key"), "id")
+    both = both.withColumn("at_random", F.xxhash64(F.monotonically_increasing_id()))  # splits one key that very many rows ask for
+    parts = both.repartitionByRange(by, "at", "is_key", "id", "at_random").drop("at_random")
+    parts = written(parts.withColumn("part", F.spark_partition_id()), "in-order")
+    within = Window.partitionBy("part", by).orderBy("at", "is_key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = parts.groupBy(by, "part").agg(F.max(F.when(F.col("is_key") == 0, F.struct("at", "id")))["id"].alias("last"))
+    last = last.select(F.col(by).alias("of"), F.col("part").alias("task"), F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    found = parts.withColumn("id", F.last("id", ignorenulls=True).over(within)).where("is_key = 1")
+    found = found.join(last, F.col("of").eqNullSafe(F.col(by)) & (F.col("task") == F.col("part")), "left")
+    return found.select(by, F.col("at").alias("pos_key"), F.coalesce("id", "before").alias("id"))

@@ -2,14 +2,16 @@
 
 A store is a folder of Parquet tables:
 
-    delta/batch=N   counts of one micro-batch
-    base/upto=N     counts of all batches up to N, merged
+    delta/batch=N      counts of one micro-batch
+    base/batches=M-N   counts of the batches from M to N, merged
 
 A batch writes its own folder and overwrites it when it is tried again, so
-counts are added once.  Compaction merges the latest base with the deltas
-after it into a new base; a base counts once its _SUCCESS marker is there, so
-readers see either the old or the new one, and nothing that is being read is
-ever overwritten.
+counts are added once.  Compaction merges the deltas, and the last bases that
+hold no more batches than what they are merged with, into a new base.  Bases
+so double in size: a store of N batches has about log2(N) of them, and each
+count is written again about log2(N) times, not once in every compaction.  A
+base counts once its _SUCCESS marker is there, so readers see either the old
+ones or the new one, and nothing that is being read is ever overwritten.
 """
 
 from __future__ import annotations
@@ -30,22 +32,36 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers N of the finished folders ``name=N`` under ``path``."""
+def _finished(spark: SparkSession, path: str, name: str) -> list[str]:
+    """What follows ``name=`` in the finished folders under ``path``."""
     fs, p = _files(spark, path)
     if not fs.exists(p):
         return []
     found = [s.getPath() for s in fs.listStatus(p)]
     done = [x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted(int(x.getName().removeprefix(f"{name}=")) for x in done if x.getName().startswith(f"{name}="))
+    return [x.getName().removeprefix(f"{name}=") for x in done if x.getName().startswith(f"{name}=")]
+
+
+def _bases(spark: SparkSession, store: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """First and last batch of the bases in use, in order, and of those that another one replaces."""
+    found = sorted(tuple(map(int, x.split("-"))) for x in _finished(spark, f"{store}/base", "batches"))
+    held = [x for x in found if any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found)]
+    return [x for x in found if x not in held], held
+
+
+def _deltas(spark: SparkSession, store: str) -> list[int]:
+    return sorted(map(int, _finished(spark, f"{store}/delta", "batch")))
+
+
+def _base(store: str, batches: tuple[int, int]) -> str:
+    return f"{store}/base/batches={batches[0]}-{batches[1]}"
 
 
 def layers(spark: SparkSession, store: str) -> tuple[int, list[str]]:
-    """The last batch in the latest base (-1 without one), and the folders that make up the store now."""
-    bases = _numbered(spark, f"{store}/base", "upto")
-    upto = bases[-1] if bases else -1
-    deltas = [n for n in _numbered(spark, f"{store}/delta", "batch") if n > upto]
-    return upto, [f"{store}/base/upto={upto}"] * bool(bases) + [f"{store}/delta/batch={n}" for n in deltas]
+    """The last batch in a base (-1 without one), and the folders that make up the store now."""
+    bases, _ = _bases(spark, store)
+    upto = bases[-1][1] if bases else -1
+    return upto, [_base(store, x) for x in bases] + [f"{store}/delta/batch={n}" for n in _deltas(spark, store) if n > upto]
 
 
 def read_counts(spark: SparkSession, store: str) -> DataFrame:
@@ -56,20 +72,26 @@ def read_counts(spark: SparkSession, store: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, store: str, least: int = 1) -> int:
-    """Merge the base and at least ``least`` deltas into a new base, sorted by key; returns its last batch."""
-    upto, paths = layers(spark, store)
-    deltas = [n for n in _numbered(spark, f"{store}/delta", "batch") if n > upto]
+    """Merge at least ``least`` deltas, and last bases of their size, into a base sorted by key; returns its last batch."""
+    bases, _ = _bases(spark, store)
+    upto = bases[-1][1] if bases else -1
+    deltas = [n for n in _deltas(spark, store) if n > upto]
     if len(deltas) < max(least, 1):
         return upto
+    paths = [f"{store}/delta/batch={n}" for n in deltas]
+    first, last = deltas[0], deltas[-1]
+    while bases and bases[-1][1] - bases[-1][0] <= last - first:
+        paths.append(_base(store, bases[-1]))
+        first = bases.pop()[0]
     merged = merge_counts(*(spark.read.schema(COUNTS).parquet(p) for p in paths))
-    merged.repartitionByRange("pos_key").sortWithinPartitions("pos_key").write.mode("overwrite").parquet(f"{store}/base/upto={deltas[-1]}")
-    return deltas[-1]
+    merged.repartitionByRange("pos_key").sortWithinPartitions("pos_key").write.mode("overwrite").parquet(_base(store, (first, last)))
+    return last
 
 
 def vacuum(spark: SparkSession, store: str) -> int:
-    """Remove bases and deltas that the latest base replaces; returns how many. Not while older readers run."""
-    upto, _ = layers(spark, store)
-    gone = [f"{store}/base/upto={n}" for n in _numbered(spark, f"{store}/base", "upto") if n < upto] + [f"{store}/delta/batch={n}" for n in _numbered(spark, f"{store}/delta", "batch") if n <= upto]
+    """Remove bases and deltas that a base replaces; returns how many. Not while older readers run."""
+    bases, held = _bases(spark, store)
+    gone = [_base(store, x) for x in held] + [f"{store}/delta/batch={n}" for n in _deltas(spark, store) if bases and n <= bases[-1][1]]
     for path in gone:
         fs, p = _files(spark, path)
         fs.delete(p, True)

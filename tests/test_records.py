@@ -97,6 +97,22 @@ def test_ranges(spark):
     assert sorted(map(tuple, K.overlapping(a, b).collect())) == [(1, 7), (2, 7)]
 
 
+def test_ranges_against_brute_force(spark):
+    """One group holds most rows, and many keys and lows are equal; null groups and empty tables too."""
+    pick = random.Random(5)
+    lows = [(pick.choice("gggggh"), pick.randrange(40), i) for i in range(60)] + [(None, 3, 99)]
+    keys = [(pick.choice("gggggh"), pick.randrange(60)) for _ in range(300)] + [("none", 5), (None, 2), (None, 7)]
+    files = spark.createDataFrame(lows, "by string, low int, id int")
+    want = [(g, k, max(((low, i) for h, low, i in lows if h == g and low <= k), default=(0, None))[1]) for g, k in keys]
+    asked = spark.createDataFrame(keys, "by string, pos_key int")
+    assert sorted(map(tuple, K.rightmost(asked, files, "by").collect()), key=repr) == sorted(want, key=repr)
+    assert K.rightmost(asked, files.limit(0), "by").where("id is not null").count() == 0
+    a, b = ([(i, x := pick.randrange(50), x + pick.randrange(-1, 15)) for i in range(40)] for _ in range(2))
+    pairs = [(i, j) for i, x, y in a for j, u, v in b if x <= y and u <= v and x <= v and u <= y]
+    ranges = "id int, low int, high int"
+    assert sorted(map(tuple, K.overlapping(spark.createDataFrame(a, ranges), spark.createDataFrame(b, ranges)).collect())) == sorted(pairs)
+
+
 def test_searches_end_on_cycles_and_proofs_are_minimal(spark):
     rng = random.Random(3)
     edges = [(f"n{a}", f"t{b}", f"n{b}") for a in range(30) for b in rng.sample(range(40), rng.randint(0, 3))]

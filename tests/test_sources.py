@@ -93,7 +93,7 @@ def test_streamed_games_give_the_counts_of_the_batch(spark, folder, tmp_path):
     I.ingest(games.stream(spark, str(source)), store, progress, play, trigger={"availableNow": True}).awaitTermination()
     twice = sorted((k, 2 * w, 2 * d, 2 * x) for k, w, d, x in want)
     assert sorted(map(tuple, I.read_counts(spark, store).collect())) == twice
-    assert I.compact(spark, store) == 1 and I.layers(spark, store)[1] == [f"{store}/base/upto=1"]
+    assert I.compact(spark, store) == 1 and I.layers(spark, store)[1] == [f"{store}/base/batches=0-1"]
     assert sorted(map(tuple, I.read_counts(spark, store).collect())) == twice
     assert I.vacuum(spark, store) == 2 and sorted(map(tuple, I.read_counts(spark, store).collect())) == twice
     # a batch that is tried again replaces itself
@@ -103,6 +103,23 @@ def test_streamed_games_give_the_counts_of_the_batch(spark, folder, tmp_path):
     assert I.read_counts(spark, f"{store}-none").count() == 0
 
 
+def test_bases_double_in_size(spark, tmp_path):
+    """Every compaction merges what has come in with bases of that size, and nothing is counted twice or lost."""
+    from plyscope.streaming import ingest as I
+
+    store = f"file://{tmp_path}/store"
+    bases = []
+    for n in range(8):
+        spark.createDataFrame([("a", 1, 0, 0), (f"k{n}", 0, n, 0)], I.COUNTS).coalesce(1).write.parquet(f"{store}/delta/batch={n}")
+        assert I.compact(spark, store, 3 if n == 7 else 1) == min(n, 6)
+        bases.append(len([x for x in I.layers(spark, store)[1] if "/base/" in x]))
+    assert bases == [1, 1, 2, 1, 2, 2, 3, 3]
+    want = sorted([("a", 8, 0, 0)] + [(f"k{n}", 0, n, 0) for n in range(8)])
+    assert sorted(map(tuple, I.read_counts(spark, store).collect())) == want
+    assert I.vacuum(spark, store) == 7 + 4  # the deltas but the last, and the bases 0-0, 2-2, 0-1 and 4-4
+    assert sorted(map(tuple, I.read_counts(spark, store).collect())) == want
+
+
 def test_openings(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("eco\tname\tpgn\nB00\tKing's Pawn\t1. e4\nC50\tItalian\t1. e4 e5 2. Nf3 Nc6 3. Bc4\nbroken\nX\tbad\t1. e5\nB01\tKing's Pawn again\t1. e4\n")
     known = openings.by_position(games.line_key(openings.read(spark, str(tmp_path))), F.col("pos_key"))
